@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirefold.llm import substring
+from quirefold.llm import substring, suffix
 from quirefold.llm.common import table
 
 
@@ -12,13 +12,18 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"), window=35, with_text=False)
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_earlier_repeats(table(spark, sf_dir, "documents"), window=100, with_kept=False)
+
+
 QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLES = {
     "op8_substring_dedup": r"""
-WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 win AS (SELECT doc_id, s, array_to_string(w[s : s + 34], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS s FROM d WHERE len(w) >= 35)),
 rep AS (SELECT doc_id, s FROM (SELECT doc_id, s, count(*) OVER (PARTITION BY k) AS c FROM win) WHERE c > 1),
 cov AS (SELECT DISTINCT doc_id, unnest(range(s, s + 35)) AS p FROM rep),
@@ -27,5 +32,19 @@ kept AS (SELECT pos.doc_id, string_agg(word, ' ' ORDER BY pos.p) AS t FROM pos L
 n AS (SELECT doc_id, count(*) AS c FROM cov GROUP BY 1)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n.c, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
+""",
+    "op10_suffix_dedup": r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (SELECT doc_id, s, substr(h, s * 2 + 1, 200) AS k FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS s FROM d WHERE length(h) >= 200)),
+rep AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY md5(k) ORDER BY doc_id, s) AS c FROM win) WHERE c > 1),
+isl AS (SELECT doc_id, s, sum(CASE WHEN s <= p + 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY s) AS g
+        FROM (SELECT doc_id, s, coalesce(lag(s) OVER (PARTITION BY doc_id ORDER BY s), -1000) AS p FROM rep)),
+span AS (SELECT doc_id, g, min(s) AS lo, max(s) + 100 AS hi FROM isl GROUP BY 1, 2),
+gap AS (SELECT doc_id, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS a, lo AS b FROM span
+        UNION ALL SELECT d.doc_id, coalesce(m.hi, 0), length(h) // 2 FROM d LEFT JOIN (SELECT doc_id, max(hi) AS hi FROM span GROUP BY 1) m USING (doc_id)),
+kept AS (SELECT doc_id, string_agg(substr(h, a * 2 + 1, (b - a) * 2), '' ORDER BY a) AS t FROM gap JOIN d USING (doc_id) GROUP BY 1),
+n AS (SELECT doc_id, count(*) AS c, sum(hi - lo) AS r FROM span GROUP BY 1)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n.r, 0) AS BIGINT) AS n_removed, CAST(coalesce(n.c, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept.t, ''))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
 """,
 }
