@@ -35,25 +35,13 @@ def partitions(spark: SparkSession, total_bytes: int, each: int = 8 << 20) -> in
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total_bytes / each))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir; a local one only where that setting is absent, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file:///tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", root) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-    return f"{root.rstrip('/')}/quirefold-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it again: lineage ends there."""
-    path = f"{folder}/{name}"
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_folder(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cuts lineage with a checkpoint in the shared folder of spark.checkpoint.dir; a local one only where
+    that setting is absent, as in tests."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/{uuid.uuid4().hex}")
+    return df.checkpoint()
 
 
 def row_key(*cols: str) -> Column:
