@@ -3,20 +3,38 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quirefold.llm import decontaminate, quality, simhash, substring, suffix
+from quirefold.llm import chat, decontaminate, language, licenses, quality, simhash, substring, suffix
 from quirefold.llm.common import table
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation 2 i is the chosen one of pair i, conversation 2 i + 1 the rejected one."""
+    turns = table(spark, sf_dir, "conversations")
+    return chat.format_preferences(turns.withColumn("pair_id", F.expr("conv_id div 2")).withColumn("chosen", F.pmod("conv_id", F.lit(2)) == 0))
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learned = language.train(docs.where(F.col("doc_id").isNotNull() & ~language.held_out(F.col("doc_id"))))
+    out = language.classify(docs, learned)
+    return out.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"), window=35, with_text=False)
 
@@ -30,8 +48,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_license_scan": op3_license_scan,
     "op4_quality_rules": op4_quality_rules,
+    "op5_preference_format": op5_preference_format,
     "op6_simhash_dedup": op6_simhash_dedup,
+    "op7_language_id": op7_language_id,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_decontaminate": op9_decontaminate,
     "op10_suffix_dedup": op10_suffix_dedup,
@@ -55,6 +76,8 @@ lim AS (SELECT lang, source,
 """
 
 ORACLES = {
+    "op3_license_scan": licenses.oracle(),
+    "op5_preference_format": chat.ORACLE,
     "op4_quality_rules": r"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 win AS (SELECT doc_id, s, array_to_string(w[s : s + 4], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS s FROM d WHERE len(w) >= 5)),
