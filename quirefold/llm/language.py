@@ -1,5 +1,6 @@
 """Language ID by compression: each language has a zstandard raw-content dictionary of its text, and a text is in the
-language whose dictionary makes it smallest. Narrow margins are marked as rejected."""
+language whose dictionary makes it smallest. Case and whatever isn't a letter are set aside on both sides. Narrow
+margins are marked as rejected."""
 
 from __future__ import annotations
 
@@ -13,15 +14,21 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 LETTER = re.compile(r"[^\W\d_]")
+OTHER = re.compile(r"[\W\d_]+")
 UNDETERMINED = "und"
 
 
+def letters(text: str) -> bytes:
+    """The words of letters, lower-cased, with single spaces."""
+    return OTHER.sub(" ", text.lower()).encode()
+
+
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 128, bytes_per_doc: int = 2048, max_langs: int = 1000) -> dict[str, bytes]:
     """A dictionary for each language from a bounded sample of labelled rows.
 
     The sample holds at most `docs_per_lang` texts of a language, those with the least hashes (equal texts once), and of each
     at most the `bytes_per_doc` bytes from its middle: 256 KB a language. Rows with a null or empty text or language are left out.
-    More than `max_langs` languages are an error, which bounds what is broadcast.
+    More than `max_langs` languages are an error, which bounds what is broadcast. The commonest language comes first.
     """
     rows = labelled.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text")).where("lang IS NOT NULL AND text <> ''")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(max_langs + 1).collect()}
@@ -38,26 +45,26 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", d
     sample = rows.withColumn("k", F.row_number().over(least)).where(F.col("k") <= docs_per_lang).collect()
     out: dict[str, list[bytes]] = {}
     for r in sorted(sample, key=lambda r: (r["lang"], r["k"])):
-        out.setdefault(r["lang"], []).append(r["text"].encode()[:bytes_per_doc])
-    return {lang: b"\n".join(texts) for lang, texts in out.items()}
+        out.setdefault(r["lang"], []).append(letters(r["text"])[:bytes_per_doc])
+    return {lang: b" ".join(out[lang]) for lang in sorted(out, key=lambda k: (-counts[k], k))}
 
 
 class Classifier:
     def __init__(self, dictionaries: dict[str, bytes], level: int = 3):
         self.by = []
-        for lang in sorted(dictionaries):
+        for lang in dictionaries:
             content = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             content.precompute_compress(level=level)
             self.by.append((lang, zstandard.ZstdCompressor(level=level, dict_data=content, write_content_size=False, write_checksum=False, write_dict_id=False)))
 
     def __call__(self, text: str | None, narrow: float) -> tuple[str, float, bool]:
-        """(language, score, whether the margin is narrow); ties go to the first name."""
+        """(language, score, whether the margin is narrow); ties go to the language that comes first."""
         if not text or not LETTER.search(text) or not self.by:
             return UNDETERMINED, 0.0, True
-        raw = text.encode()
-        sizes = sorted((len(c.compress(raw)), lang) for lang, c in self.by)
+        raw = letters(text)
+        sizes = sorted((len(c.compress(raw)), i) for i, (_, c) in enumerate(self.by))
         margin = 1.0 if len(sizes) == 1 else (sizes[1][0] - sizes[0][0]) / sizes[1][0]
-        return sizes[0][1], margin / (margin + 0.02) if margin else 0.0, margin < narrow
+        return self.by[sizes[0][1]][0], margin / (margin + 0.02) if margin else 0.0, margin < narrow
 
 
 def classify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", keep: list[str] | None = None, narrow: float = 0.01, level: int = 3) -> DataFrame:
