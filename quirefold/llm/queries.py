@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import chat, decontaminate, language, licenses, quality, simhash, substring, suffix
+from quirefold.llm import chat, decontaminate, language, licenses, pii, quality, simhash, substring, suffix
 from quirefold.llm.common import table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.detect(table(spark, sf_dir, "documents"))
+    terms = F.transform(F.coalesce("terms", F.array().cast("array<struct<s:int,e:int,npmi:double>>")), lambda x: F.concat_ws(":", F.lit(pii.TERM), x["s"], x["e"]))
+    base = F.when(F.col("base") != "", F.array("base")).otherwise(F.array().cast("array<string>"))
+    return out.select("doc_id", *(f"n_{k}" for k in pii.KINDS), F.sha2("base", 256).alias("base_sha256"), F.array_join(F.concat(base, terms), ",").alias("spans"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -48,6 +55,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op3_license_scan": op3_license_scan,
     "op4_quality_rules": op4_quality_rules,
     "op5_preference_format": op5_preference_format,
