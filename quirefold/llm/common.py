@@ -35,15 +35,33 @@ def partitions(spark: SparkSession, total_bytes: int, each: int = 8 << 20) -> in
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total_bytes / each))
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a checkpoint in the shared folder of spark.checkpoint.dir; a local one only where
-    that setting is absent, as in tests."""
-    sc = df.sparkSession.sparkContext
+def checkpoint_root(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; one of our own only where that setting is absent, as in tests."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/{uuid.uuid4().hex}")
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/{uuid.uuid4().hex}")
+    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cuts lineage with a checkpoint in the shared folder."""
+    checkpoint_root(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cuts lineage by writing a table to a fresh place in the shared folder and reading it again."""
+    path = f"{checkpoint_root(df.sparkSession).rstrip('/')}/quirefold-{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def row_key(*cols: str) -> Column:
     """A 128-bit key of a row's contents: equal rows share it, other rows don't."""
     return F.struct(F.xxhash64(*cols).alias("a"), F.xxhash64(F.lit(7919), *reversed(cols)).alias("b"))
+
+
+def with_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Adds __row_key, the key of (id, text) that the operators use."""
+    named = {"__id": F.col(f"`{id_col}`").cast("long"), "__text": F.col(f"`{text_col}`").cast("string")}
+    return docs.withColumns(named).withColumn("__row_key", row_key("__id", "__text")).drop(*named)

@@ -24,26 +24,27 @@ SHORT = 1  # salt of first words
 
 
 def words(text: Column) -> Column:
-    """Words in order, A-Z lower-cased."""
-    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWERED), BREAK), "")
-
-
-def _kept_grams(hashes: Column, window: int, gram: int) -> Column:
-    """For each window start the least gram hash in the window; empty where there is no window."""
-    grams = F.transform(F.sequence(F.lit(0), F.size(hashes) - gram), lambda i: F.xxhash64(*(F.get(hashes, i + j) for j in range(gram))))
-    span, have, least = window - gram + 1, 1, grams
-    while have * 2 <= span:
-        least = F.zip_with(least, F.slice(least, have + 1, 1 << 30), lambda a, b: F.least(a, b))
-        have *= 2
-    if span > have:
-        least = F.zip_with(least, F.slice(least, span - have + 1, 1 << 30), lambda a, b: F.least(a, b))
-    # zip_with pads to the longer array, and least() skips nulls: the windows are the first size - window + 1
-    return F.when(F.size(hashes) >= window, F.slice(least, F.lit(1), F.size(hashes) - window + 1)).otherwise(F.array().cast("array<bigint>"))
-
-
-def _with_grams(rows: DataFrame, window: int, gram: int) -> DataFrame:
-    """Adds w (words), h (their hashes) and g (the kept gram of each window)."""
-    return rows.withColumn("w", words(F.col("text"))).withColumn("h", F.transform("w", lambda x: F.xxhash64(x))).withColumn("g", _kept_grams(F.col("h"), window, gram))
+    """Words in order, A-Z lower-cased. Of plain ASCII, lower() does no more than that, and faster."""
+    text = F.coalesce(text, F.lit(""))
+    plain = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWERED))
+    return F.array_remove(F.split(plain, BREAK), "")
+
+
+def _with_grams(rows: DataFrame, window: int, gram: int, when: Column | None = None) -> DataFrame:
+    """Adds w (words), h (their hashes) and g: for each window start, the least gram hash in the window. Each step is a column of
+    its own that the next uses twice, so it is evaluated once. `when` false leaves them null."""
+    every = F.lit(True) if when is None else when
+    rows = rows.withColumn("w", F.when(every, words(F.col("text"))))
+    rows = rows.withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
+    last = F.greatest(F.size("h") - gram, F.lit(0))
+    rows = rows.withColumn("g", F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*(F.get("h", i + j) for j in range(gram)))))
+    span, have = window - gram + 1, 1
+    while have < span:
+        step = min(have, span - have)
+        # zip_with pads to the longer array and least() skips nulls: only the starts of whole windows stay in the end
+        rows = rows.withColumn("g", F.zip_with("g", F.slice("g", step + 1, 1 << 30), lambda a, b: F.least(a, b)))
+        have += step
+    return rows.withColumn("g", F.slice("g", F.lit(1), F.greatest(F.size("h") - window + 1, F.lit(0))))
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -69,9 +70,9 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item_id"), F.col(f"`{item_text_col}`").cast("string").alias("text"))
     items = _with_grams(items, window, gram).where(F.size("w") > 0)
     short = F.size("w") < window
-    starts = F.when(short, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0))))
-    size = F.least(F.size("w"), F.lit(window))
-    item_windows = common.checkpoint(items.select("item_id", F.explode(F.transform(starts, lambda s: F.struct(size.alias("n"), F.array_join(F.slice(F.col("w"), s + 1, size), " ").alias("text"), F.when(short, F.xxhash64(F.get("h", F.lit(0)), F.lit(SHORT))).otherwise(F.get("g", s)).alias("anchor")))).alias("x")).select("item_id", "x.*").distinct())
+    one = lambda n, start, anchor: F.struct(F.lit(n).cast("int").alias("n"), F.array_join(F.slice("w", start, n), " ").alias("text"), anchor.alias("anchor"))
+    its = F.when(short, F.array(one(F.size("w"), F.lit(1), F.xxhash64(F.get("h", F.lit(0)), F.lit(SHORT))))).otherwise(F.transform("g", lambda x, i: one(window, i + 1, x)))
+    item_windows = common.checkpoint(items.select("item_id", F.explode(its).alias("x")).select("item_id", "x.*").distinct())
     item_anchors = item_windows.select("anchor").distinct()
     n_windows, n_anchors = item_windows.count(), item_anchors.count()
     lengths = sorted(r["n"] for r in item_windows.where(F.col("n") < window).select("n").distinct().collect())  # fewer than `window` values
@@ -82,13 +83,13 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     hits = kept.select("row_key", F.explode(every).alias("anchor")).join(_small(item_anchors, n_anchors), "anchor", "left_semi")
     hits = hits.groupBy("row_key").agg(F.collect_set("anchor").alias("anchors"))
 
-    again = docs.join(hits, "row_key", "left").withColumn("w", words(F.col("text")))
     hit = F.col("anchors").isNotNull()
-    hashes = F.when(hit, F.transform("w", lambda x: F.xxhash64(x)))
-    again = again.withColumn("h", hashes).withColumn("g", F.when(hit, _kept_grams(F.col("h"), window, gram)))
-    at = lambda a, n: F.filter(F.sequence(F.lit(0), F.greatest(F.size("w") - n, F.lit(0))), lambda s: F.array_contains("anchors", F.get(a, s)) & (s + n <= F.size("w")))
+    again = _with_grams(docs.join(hits, "row_key", "left"), window, gram, hit)
+    # the arrays are arguments, not closed over: Catalyst may move a closed-over expression into the loop
+    at = lambda a, n: F.filter(F.transform(a, lambda x, i: F.when(F.array_contains("anchors", x) & (i + n <= F.size("w")), i)), lambda i: i.isNotNull())
     found = [_texts(at(F.col("g"), window), window), *(_texts(at(first, n), n) for n in lengths)]
-    again = again.select("row_key", "doc_id", F.size("w").cast("long").alias("n_words"), F.when(hit, reduce(F.concat, found)).alias("candidates"))
+    n_words = F.coalesce(F.size("w"), F.size(F.array_remove(F.split("text", BREAK), "")), F.lit(0)).cast("long")  # case doesn't change the count
+    again = again.select("row_key", "doc_id", n_words.alias("n_words"), F.when(hit, reduce(F.concat, found)).alias("candidates"))
     again = common.checkpoint(again)
 
     spans = again.select("row_key", F.explode("candidates").alias("x")).select("row_key", "x.*").join(_small(item_windows.select("item_id", "n", "text"), n_windows), ["n", "text"])
@@ -97,3 +98,9 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     spans = spans.select("row_key", cover.cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
     out = again.drop("candidates").join(spans, "row_key", "left").na.fill(0, ["n_hit", "n_items"])
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "row_key")
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows without a benchmark window, with all of their columns."""
+    bad = find_overlaps(docs, benchmark, id_col, text_col, **options).where("contaminated").select(F.col("row_key").alias("__row_key")).distinct()
+    return common.with_key(docs, id_col, text_col).join(bad, "__row_key", "left_anti").drop("__row_key")

@@ -118,6 +118,35 @@ def limits(bins: DataFrame, lang: str, source: str, spread: int = 5, min_group:
     return joined.groupBy(lang, source).agg(*(one(m, least, floor) for m, (_, least, floor) in METRICS.items()))
 
 
+#: Groups whose limits may be broadcast; beyond that they are joined by a shuffle.
+BROADCAST_GROUPS = 100_000
+
+
+def _renamed(docs: DataFrame, text_col: str, lang_col: str, source_col: str, keep: list[str]) -> DataFrame:
+    """Internal names throughout, so that no column can clash with a result."""
+    return docs.select(*(F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)), F.col(f"`{lang_col}`").cast("string").alias("_lang"), F.col(f"`{source_col}`").cast("string").alias("_source"), F.col(f"`{text_col}`").alias("_text"))
+
+
+def _verdicts(counts: DataFrame, lim: DataFrame) -> DataFrame:
+    lim = lim.withColumnsRenamed({"_lang": "_l", "_source": "_s"})
+    out = counts.join(lim, counts["_lang"].eqNullSafe(lim["_l"]) & counts["_source"].eqNullSafe(lim["_s"]), "left").drop("_l", "_s")
+    base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    within = F.lit(True)
+    for m, (sql, _, _) in METRICS.items():
+        within &= F.expr(sql) <= F.col(f"lim_{m}")
+    return out.withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & F.coalesce(within, F.lit(False)))
+
+
+def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", spread: int = 5, min_group: int = 100) -> DataFrame:
+    """The rows that judge() keeps, with all of their columns. Texts are measured twice, and never shuffled."""
+    renamed = _renamed(docs, text_col, lang_col, source_col, docs.columns)
+    bins = common.checkpoint(sketches(measured(renamed, "_text", ["_lang", "_source"]), ["_lang", "_source"]))
+    lim = common.checkpoint(limits(bins, "_lang", "_source", spread, min_group))
+    lim = F.broadcast(lim) if lim.count() <= BROADCAST_GROUPS else lim
+    out = _verdicts(measured(renamed, "_text", [*(f"_k{i}" for i in range(len(docs.columns))), "_lang", "_source"]), lim).where("kept")
+    return out.select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(docs.columns)))
+
+
 def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep: list[str] | None = None, spread: int = 5, min_group: int = 100) -> DataFrame:
     """The columns `keep` of each input row, its counts, its group's limits, base_failed and kept.
 
@@ -127,13 +156,7 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     `keep` are ignored, whatever their names; those in `keep` are carried under theirs and must not be names of results.
     """
     keep = keep or ["doc_id"]
-    renamed = docs.select(*(F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)), F.col(f"`{lang_col}`").cast("string").alias("_lang"), F.col(f"`{source_col}`").cast("string").alias("_source"), F.col(f"`{text_col}`").alias("_text"))
+    renamed = _renamed(docs, text_col, lang_col, source_col, keep)
     counts = common.checkpoint(measured(renamed, "_text", [*(f"_k{i}" for i in range(len(keep))), "_lang", "_source"]))
-    lim = limits(sketches(counts, ["_lang", "_source"]), "_lang", "_source", spread, min_group).withColumnsRenamed({"_lang": "_l", "_source": "_s"})
-    out = counts.join(lim, counts["_lang"].eqNullSafe(lim["_l"]) & counts["_source"].eqNullSafe(lim["_s"]), "left").drop("_l", "_s")
-    base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    within = F.lit(True)
-    for m, (sql, _, _) in METRICS.items():
-        within &= F.expr(sql) <= F.col(f"lim_{m}")
-    out = out.withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & F.coalesce(within, F.lit(False)))
+    out = _verdicts(counts, limits(sketches(counts, ["_lang", "_source"]), "_lang", "_source", spread, min_group))
     return out.select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)), *COUNTS, "base_failed", "kept", *(f"lim_{m}" for m in METRICS))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import chat, decontaminate, language, licenses, pii, quality, simhash, substring, suffix
+from quirefold.llm import chat, decontaminate, language, licenses, pieces, pii, quality, simhash, substring, suffix
 from quirefold.llm.common import table
 
 
@@ -16,6 +16,17 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *(f"n_{k}" for k in pii.KINDS), F.sha2("base", 256).alias("base_sha256"), F.array_join(F.concat(base, terms), ",").alias("spans"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pieces.encode(table(spark, sf_dir, "documents"), pieces.Model.load(pieces.MODEL_FILE), n=4)
+    return out.select("doc_id", "n_pieces", F.get("nbest_scores", F.lit(0)).alias("best_score"), F.array_join(F.transform("nbest_scores", lambda x: x.cast("decimal(30,1)").cast("string")), ",").alias("nbest_scores"), "ids_sha256", "round_trip")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -56,6 +67,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_license_scan": op3_license_scan,
     "op4_quality_rules": op4_quality_rules,
     "op5_preference_format": op5_preference_format,
@@ -64,6 +76,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_decontaminate": op9_decontaminate,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "pipeline": pipeline,
 }
 
 _LEVELS = """

@@ -59,14 +59,15 @@ def fingerprints_of(texts: Texts, shingle: int = 4) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, fp long) of rows (doc_id, text)."""
+def fingerprints(docs: DataFrame, shingle: int = 4, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(the columns `keep`, fp long) of rows with a text."""
+    source = docs.select(*keep, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fingerprints_of(texts_of(batch.column("text")), shingle).view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fingerprints_of(texts_of(batch.column("text")), shingle).view(np.int64))], names=[*keep, "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return source.mapInArrow(run, source.drop("text").schema.add("fp", "long"))
 
 
 class Forest:
@@ -190,9 +191,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     is carried through and never is a component_id unless its component has no other. Other columns are ignored.
     """
     prints = common.checkpoint(fingerprints(common.two(docs, id_col, text_col), shingle))
-    distinct = common.checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(distinct.select("fp"), distinct.count(), radius)).withColumnRenamed("node", "fp")
-    rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = _rooted(prints, radius)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _rooted(prints: DataFrame, radius: int) -> DataFrame:
+    """(fp, least doc_id, root) for each distinct fingerprint."""
+    distinct = common.checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = components(links(distinct.select("fp"), distinct.count(), radius)).withColumnRenamed("node", "fp")
+    return distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
+    """One row of each component, with all of its columns: that of the least doc_id (a null id comes last), of equal
+    ids the one with the least row key, of equal rows any one."""
+    keyed = common.two(docs, id_col, text_col).withColumn("row_key", common.row_key("doc_id", "text"))
+    prints = common.checkpoint(fingerprints(keyed, shingle, ("doc_id", "row_key")))
+    rooted = _rooted(prints, radius).select("fp", "root")
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")
+    least = prints.groupBy("fp").agg(F.min(rank).alias("r")).join(rooted, "fp").groupBy("root").agg(F.min("r").alias("r")).select(F.col("r.row_key").alias("__row_key"))
+    return common.with_key(docs, id_col, text_col).join(least, "__row_key", "left_semi").dropDuplicates(["__row_key"]).drop("__row_key")
+
