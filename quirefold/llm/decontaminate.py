@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from quirefold.llm import common
 
-#: ASCII other than letters and digits.
-BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What parts words, in text that has no A-Z any more and in any text.
+BREAK, BREAK_CASED = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of benchmark anchors or windows that may be broadcast; beyond that the join is a shuffled one.
 BROADCAST_ROWS = 500_000
@@ -88,7 +88,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     # the arrays are arguments, not closed over: Catalyst may move a closed-over expression into the loop
     at = lambda a, n: F.filter(F.transform(a, lambda x, i: F.when(F.array_contains("anchors", x) & (i + n <= F.size("w")), i)), lambda i: i.isNotNull())
     found = [_texts(at(F.col("g"), window), window), *(_texts(at(first, n), n) for n in lengths)]
-    n_words = F.coalesce(F.size("w"), F.size(F.array_remove(F.split("text", BREAK), "")), F.lit(0)).cast("long")  # case doesn't change the count
+    n_words = F.coalesce(F.size("w"), F.size(F.array_remove(F.split("text", BREAK_CASED), "")), F.lit(0)).cast("long")  # case doesn't change the count
     again = again.select("row_key", "doc_id", n_words.alias("n_words"), F.when(hit, reduce(F.concat, found)).alias("candidates"))
     again = common.checkpoint(again)
 
