@@ -1,6 +1,6 @@
 """License scans by sentence rules, in DataFrame operations only.
 
-A text is cut into segments at line ends and sentence ends, and each segment is normalised to lower-case letters and digits
+A text is cut into segments at line ends, sentence ends and colons, and each segment is normalised to lower-case letters and digits
 with single spaces. One to `max_lines` consecutive segments, joined, are looked up among the known licence sentences, so
 a sentence may be wrapped. The identifiers found, in order, are matched against ordered rules: a rule holds where its
 identifiers follow each other in that sequence. All of it happens within the row, without a shuffle. Texts without
@@ -70,7 +70,7 @@ MAX_LINES = 8
 
 def segments(text: Column) -> Column:
     """Normalised segments that have a letter or digit."""
-    lines = F.split(F.regexp_replace(text, r"([.;!?])[ \t]+", "$1\n"), r"[\n\r]+")
+    lines = F.split(F.regexp_replace(text, r"([.;:!?])[ \t]+", "$1\n"), r"[\n\r]+")
     return F.filter(F.transform(lines, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))), lambda s: s != "")
 
 
@@ -101,7 +101,7 @@ def oracle() -> str:
     rules = ", ".join(f"('{r}', '{lic}', ' {' '.join(ids)} ')" for r, (lic, ids) in RULES.items())
     return rf"""
 WITH known(t, id) AS (VALUES {known}), rules(rule, license, ids) AS (VALUES {rules}),
-d AS (SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace(coalesce(text, ''), '([.;!?])[ \t]+', '\1' || chr(10), 'g'), '[\n\r]+'), lambda s: trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))), lambda s: s <> '') AS seg FROM documents),
+d AS (SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace(coalesce(text, ''), '([.;:!?])[ \t]+', '\1' || chr(10), 'g'), '[\n\r]+'), lambda s: trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))), lambda s: s <> '') AS seg FROM documents),
 w AS (SELECT doc_id, i, n, array_to_string(seg[i : i + n - 1], ' ') AS t FROM (SELECT doc_id, seg, unnest(range(1, len(seg) + 1)) AS i FROM d) JOIN range(1, {MAX_LINES + 1}) r(n) ON i + n - 1 <= len(seg)),
 f AS (SELECT doc_id, count(*) AS c, string_agg(id, ' ' ORDER BY i, id) AS s FROM w JOIN known USING (t) GROUP BY 1),
 h AS (SELECT doc_id, string_agg(rule, ',' ORDER BY rule) AS rules, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses FROM f JOIN rules ON contains(' ' || f.s || ' ', rules.ids) GROUP BY 1)
