@@ -27,7 +27,7 @@ NOT_NEWLINE = ~byte_set((0x0A, 0x0A))
 #: metric: (per cent thousand or hundredths as SQL over the counts, least spread, floor of the upper limit).
 METRICS = {
     "symbols": ("1000 * n_symbols div greatest(word_chars, 1)", 40, 200),
-    "dup_lines": ("1000 * n_dup_lines div greatest(n_lines, 1)", 60, 300),
+    "dup_lines": ("1000 * n_dup_lines div greatest(n_lines, 1)", 60, 600),
     "repeats": ("1000 * n_repeat_words div greatest(n_words, 1)", 40, 200),
     "word_length": ("100 * word_chars div greatest(n_words, 1)", 100, 1000),
 }

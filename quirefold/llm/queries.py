@@ -92,7 +92,7 @@ q3 AS (SELECT metric, min(top) FILTER (c3 * 100 >= s3 * 25) AS lo, min(top) FILT
 pick AS (SELECT q1.lang, q1.source, q1.metric, CASE WHEN q1.s >= 100 THEN q1.lo WHEN q2.s >= 100 THEN q2.lo ELSE q3.lo END AS lo, CASE WHEN q1.s >= 100 THEN q1.mid WHEN q2.s >= 100 THEN q2.mid ELSE q3.mid END AS mid
   FROM q1 JOIN q2 ON q1.lang IS NOT DISTINCT FROM q2.lang AND q1.metric = q2.metric JOIN q3 ON q1.metric = q3.metric),
 lim AS (SELECT lang, source,
-  max(greatest(mid + 5 * greatest(mid - lo, 40), 200)) FILTER (metric = 'symbols') AS l1, max(greatest(mid + 5 * greatest(mid - lo, 60), 300)) FILTER (metric = 'dup_lines') AS l2,
+  max(greatest(mid + 5 * greatest(mid - lo, 40), 200)) FILTER (metric = 'symbols') AS l1, max(greatest(mid + 5 * greatest(mid - lo, 60), 600)) FILTER (metric = 'dup_lines') AS l2,
   max(greatest(mid + 5 * greatest(mid - lo, 40), 200)) FILTER (metric = 'repeats') AS l3, max(greatest(mid + 5 * greatest(mid - lo, 100), 1000)) FILTER (metric = 'word_length') AS l4 FROM pick GROUP BY ALL)
 """
 
