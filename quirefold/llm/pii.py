@@ -1,13 +1,15 @@
 """PII: pattern spans, and information-theoretic sanitisation of the terms around them.
 
-Four kinds of personal data are found by pattern; a value found is a protected entity. For every term within `reach` terms
-of an entity, corpus-wide counts give the normalised pointwise mutual information of the two,
+Four kinds of personal data are found by pattern; a value found is a protected entity. For every term of a document with
+an entity, document frequencies over the whole corpus give the normalised pointwise mutual information of the two,
 
-    npmi = log2(c(t,e) N / (c(t) c(e) 2 reach)) / log2(N / c(t,e)),
+    npmi = log2(d(t,e) N / (d(t) d(e))) / log2(N / d(t,e)),
 
-how much of the entity the term discloses: near 1 for a name that occurs only beside one address, near 0 for a common
-word. A pair that `support` different texts have and whose npmi reaches `generalise_at` is disclosing there: the
-term is a span of kind `term`, replaced by its class, or removed from `remove_at` on. Texts without an entity have no such term.
+how much of the entity the term discloses: near 1 for a name that occurs only in documents with one address, near 0 for a
+common word. A pair that `support` different texts have and whose npmi reaches `generalise_at` is disclosing: in the texts
+of the entity, every occurrence of the term is a span of kind `term`, replaced by its class, or removed from `remove_at` on.
+Texts without an entity have no such term. An entity or a pair of fewer texts than `support` gives none either; `support`
+1 takes these in.
 """
 
 from __future__ import annotations
@@ -34,7 +36,6 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 WORD = re.compile(r"[0-9A-Za-z\x80-\U0010FFFF]+")
-NEAR = 400  # code points looked at for the nearest terms at a time; doubled until there are enough
 
 
 def luhn(digits: str) -> bool:
@@ -86,32 +87,20 @@ def _value(kind: str, raw: str) -> str:
     return f"{kind}:{raw.lower() if kind == 'email' else re.sub('[^0-9.]', '', raw) if kind == 'ip' else re.sub('[^0-9]', '', raw)}"
 
 
-def _beside(text: str, spans: list[tuple[str, int, int]], reach: int) -> Iterator[tuple[str, int, int, int]]:
-    """(entity, start, end of term, which span) of the terms nearest to each span, those inside spans left out."""
+def _terms(text: str, spans: list[tuple[str, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of all terms of a text, those that touch a span left out."""
+    words = [m.span() for m in WORD.finditer(text)]
+    at = np.array(words, np.int64).reshape(-1, 2)
     taken = sorted((s, e) for _, s, e in spans)
-    starts = np.array([s for s, _ in taken])
-    ends = np.maximum.accumulate(np.array([e for _, e in taken]))
-
-    def free(s: int, e: int) -> bool:
-        i = int(np.searchsorted(starts, e, "left"))
-        return i == 0 or ends[i - 1] <= s
-
-    for n, (kind, s, e) in enumerate(spans):
-        entity = _value(kind, text[s:e])
-        for forward in (False, True):
-            width = NEAR
-            while True:
-                lo, hi = (e, min(len(text), e + width)) if forward else (max(0, s - width), s)
-                found = [m.span() for m in WORD.finditer(text, lo, hi)]
-                whole = hi == len(text) if forward else lo == 0
-                if found and not whole:  # the outermost one may be cut
-                    found = found[:-1] if forward else found[1:]
-                found = [x for x in found if free(*x)]
-                found = found[:reach] if forward else found[-reach:]
-                if whole or len(found) == reach:
-                    break
-                width *= 4
-            yield from ((entity, *x, n) for x in found)
+    starts = np.array([s for s, _ in taken], np.int64)
+    ends = np.r_[0, np.maximum.accumulate(np.array([e for _, e in taken], np.int64))]
+    free = ends[np.searchsorted(starts, at[:, 1], "left")] <= at[:, 0]
+    at = at[free]
+    return term_hashes([text[s:e].encode() for s, e in at.tolist()]), at[:, 0], at[:, 1]
+
+
+def _spans(base: str) -> list[tuple[str, int, int]]:
+    return [(k, int(s), int(e)) for k, s, e in (x.split(":") for x in base.split(","))]
 
 
 def term_hashes(terms: list[bytes]) -> np.ndarray:
@@ -120,33 +109,60 @@ def term_hashes(terms: list[bytes]) -> np.ndarray:
     return A.spans(A.of_bytes(data), offs[:-1], offs[1:]).view(np.int64) if terms else np.zeros(0, np.int64)
 
 
-FOUND = "doc_id long, row_key struct<a: long, b: long>, " + "".join(f"n_{k} long, " for k in KINDS) + "base string, near array<struct<entity: long, term: long, s: int, e: int>>"
+FOUND = "doc_id long, row_key struct<a: long, b: long>, " + "".join(f"n_{k} long, " for k in KINDS) + "base string, entities array<long>, text string"
 
 
-def found(docs: DataFrame, reach: int) -> DataFrame:
-    """Base spans of rows (doc_id, row_key, text) and the terms near them."""
+def found(docs: DataFrame) -> DataFrame:
+    """Base spans of rows (doc_id, row_key, text), their distinct entities, and the text where there is one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("s", pa.int32()), ("e", pa.int32())]))
         for batch in batches:
-            base, counts, rows, terms = [], [], [], []
+            base, counts, entities, texts = [], [], [], []
             for value in batch.column("text"):
                 text = value.as_py()
                 spans = find(text)
                 base.append(join_spans(spans))
                 counts.append([sum(k == kind for k, _, _ in spans) for kind in KINDS])
-                mine = list(_beside(text, spans, reach)) if spans else []
-                rows.append([(int.from_bytes(hashlib.blake2b(x[0].encode(), digest_size=8).digest(), "big", signed=True), x[1], x[2]) for x in mine])
-                terms += [text[s:e].encode() for _, s, e, _ in mine]
-            hashes = iter(term_hashes(terms).tolist())
-            lists = [[{"entity": e, "term": next(hashes), "s": s, "e": t} for e, s, t in row] for row in rows]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), *(pa.array([c[i] for c in counts], pa.int64()) for i in range(len(KINDS))), pa.array(base, pa.string()), pa.array(lists, near)], names=["doc_id", "row_key", *(f"n_{k}" for k in KINDS), "base", "near"])
+                entities.append([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "big", signed=True) for x in sorted({_value(k, text[s:e]) for k, s, e in spans})])
+                texts.append(text if spans else None)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), *(pa.array([c[i] for c in counts], pa.int64()) for i in range(len(KINDS))), pa.array(base, pa.string()), pa.array(entities, pa.list_(pa.int64())), pa.array(texts, pa.string())], names=["doc_id", "row_key", *(f"n_{k}" for k in KINDS), "base", "entities", "text"])
 
     return docs.select("doc_id", "row_key", "text").mapInArrow(run, FOUND)
 
 
+def pairs_of(texts: DataFrame) -> DataFrame:
+    """(row_key, copies, entity, term), once for each, of texts (row_key, copies, base, text, entities)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                base, text, entities = (batch.column(c)[i].as_py() for c in ("base", "text", "entities"))
+                terms = np.unique(_terms(text, _spans(base))[0])
+                for lo in range(0, len(entities), step := max(1, (1 << 18) // max(1, len(terms)))):
+                    some = np.array(entities[lo : lo + step], np.int64)
+                    row = pa.array(np.full(len(some) * len(terms), i))
+                    yield pa.RecordBatch.from_arrays([batch.column("row_key").take(row), batch.column("copies").take(row), pa.array(np.repeat(some, len(terms))), pa.array(np.tile(terms, len(some)))], names=["row_key", "copies", "entity", "term"])
+
+    return texts.select("row_key", "copies", "base", "text", "entities").mapInArrow(run, "row_key struct<a: long, b: long>, copies long, entity long, term long")
+
+
+def located(texts: DataFrame) -> DataFrame:
+    """(row_key, terms) of texts (row_key, base, text, bad): every occurrence of the terms in `bad`, an array of (term, npmi)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("npmi", pa.float64())]))
+        for batch in batches:
+            out = []
+            for base, text, bad in zip(*(batch.column(c).to_pylist() for c in ("base", "text", "bad"))):
+                npmi = {x["term"]: x["npmi"] for x in bad}
+                out.append([{"s": s, "e": e, "npmi": npmi[h]} for h, s, e in zip(*(x.tolist() for x in _terms(text, _spans(base)))) if h in npmi])
+            yield pa.RecordBatch.from_arrays([batch.column("row_key"), pa.array(out, kind)], names=["row_key", "terms"])
+
+    return texts.select("row_key", "base", "text", "bad").mapInArrow(run, "row_key struct<a: long, b: long>, terms array<struct<s: int, e: int, npmi: double>>")
+
+
 def term_counts(docs: DataFrame, flush: int = 1 << 21) -> DataFrame:
-    """(term, n) over the whole corpus; the row with a null term has the number of all terms."""
+    """(term, n), the documents of the whole corpus that have it; the row with a null term has the number of all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -159,9 +175,13 @@ def term_counts(docs: DataFrame, flush: int = 1 << 21) -> DataFrame:
         for batch in batches:
             for _, part in texts_of(batch.column("text")).pieces(1 << 20):
                 words = spans_of(part, TERMS)
+                total += len(part)
                 if len(words):
-                    held.append(np.unique(A.spans(A.of_bytes(LOWER[part.data]), words.start, words.end), return_counts=True))
-                    total += len(words)
+                    prints = A.spans(A.of_bytes(LOWER[part.data]), words.start, words.end)
+                    order = np.lexsort((words.doc, prints))
+                    prints, doc = prints[order], words.doc[order]
+                    once = np.r_[True, (prints[1:] != prints[:-1]) | (doc[1:] != doc[:-1])]
+                    held.append(np.unique(prints[once], return_counts=True))
             if sum(len(h) for h, _ in held) > flush:
                 held = [merged()]
                 if len(held[0][0]) > flush // 2:
@@ -175,16 +195,15 @@ def term_counts(docs: DataFrame, flush: int = 1 << 21) -> DataFrame:
     return docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def disclosing(near: DataFrame, counts: DataFrame, entities: DataFrame, total: int, reach: int, support: int, generalise_at: float) -> DataFrame:
-    """(entity, term, npmi) of the pairs that reach the threshold; `near` has a row (entity, term, row_key) for each neighbourhood."""
-    pairs = near.groupBy("entity", "term", "row_key").agg(F.count(F.lit(1)).alias("c")).groupBy("entity", "term").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support)
+def disclosing(pairs: DataFrame, counts: DataFrame, entities: DataFrame, total: int, generalise_at: float) -> DataFrame:
+    """(entity, term, npmi) of the pairs (entity, term, c) that reach the threshold. A term in all documents discloses nothing."""
     pairs = pairs.join(counts, "term").join(entities, "entity")
     n = F.lit(float(total))
-    npmi = F.log2(F.col("c") * n / (F.col("n") * F.col("c_e") * 2.0 * reach)) / F.log2(n / F.col("c"))
+    npmi = F.when(F.col("c") < n, F.log2(F.col("c") * n / (F.col("n") * F.col("c_e"))) / F.log2(n / F.col("c")))
     return pairs.select("entity", "term", npmi.alias("npmi")).where(F.col("npmi") >= generalise_at)
 
 
-def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 5, support: int = 2, generalise_at: float = 0.6) -> DataFrame:
+def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 2, generalise_at: float = 0.6) -> DataFrame:
     """One row for each input row: doc_id, row_key, n_email, n_ip, n_card, n_phone, base (the pattern spans) and
     terms, an array of (s, e, npmi).
 
@@ -193,20 +212,21 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reac
     """
     docs = common.two(docs, id_col, text_col)
     docs = docs.withColumn("row_key", common.row_key("doc_id", "text"))
-    hits = common.checkpoint(found(docs, reach))
-    some = hits.where(F.col("base") != "")
-    near = some.select("row_key", F.explode("near").alias("x")).select("row_key", "x.*")
-    # an entity of a text counts once for each of its spans: spans of one entity in a text that repeat in copies count in each
-    spans = some.select("row_key", "near").distinct().select("row_key", F.explode("near").alias("x")).select("row_key", "x.*")
-    entities = spans.groupBy("entity").agg(F.greatest(F.ceil(F.count(F.lit(1)) / (2 * reach)), F.lit(1)).alias("c_e"))
-    wanted = near.select("term").distinct()
+    hits = common.checkpoint(found(docs))
+    some = hits.where(F.col("base") != "").groupBy("row_key").agg(F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in ("base", "entities", "text")))
+    each = hits.where(F.col("base") != "").groupBy("row_key").agg(F.count(F.lit(1)).alias("copies"), F.first("entities").alias("entities")).select("row_key", "copies", F.explode("entities").alias("entity"))
+    # a pair has no more texts than its entity: entities below the support can't have a disclosing term
+    entities = common.checkpoint(each.groupBy("entity").agg(F.sum("copies").alias("c_e"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support).drop("texts"))
+    shared = each.join(entities, "entity", "left_semi").groupBy("row_key").agg(F.collect_list("entity").alias("entities"))
+    near = pairs_of(some.drop("entities").join(shared, "row_key"))
+    pairs = common.checkpoint(near.groupBy("entity", "term").agg(F.sum("copies").alias("c"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support).drop("texts"))
     counts = term_counts(docs)
-    kept = common.checkpoint(counts.join(wanted, "term", "left_semi").unionByName(counts.where("term IS NULL")))
+    kept = common.checkpoint(counts.join(pairs.select("term").distinct(), "term", "left_semi").unionByName(counts.where("term IS NULL")))
     total = kept.where("term IS NULL").first()
-    bad = disclosing(spans, kept, entities, max(total["n"] if total else 1, 2), reach, support, generalise_at)
-    terms = near.select("row_key", "entity", "term", "s", "e").distinct().join(bad, ["entity", "term"])
-    terms = terms.groupBy("row_key", "s", "e").agg(F.max("npmi").alias("npmi")).groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct("s", "e", "npmi"))).alias("terms"))
-    return hits.drop("near").join(terms, "row_key", "left")
+    bad = disclosing(pairs, kept, entities, max(total["n"] if total else 1, 2), generalise_at)
+    bad = near.select("row_key", "entity", "term").join(bad, ["entity", "term"]).groupBy("row_key", "term").agg(F.max("npmi").alias("npmi"))
+    bad = bad.groupBy("row_key").agg(F.collect_list(F.struct("term", "npmi")).alias("bad"))
+    return hits.drop("entities", "text").join(located(some.drop("entities").join(bad, "row_key")), "row_key", "left")
 
 
 def rewrite(text: str | None, spans: list[tuple[str, int, int, float]], remove_at: float) -> str | None:
@@ -241,7 +261,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", re
 
         out = []
         for t, base, terms in zip(text, found["base"], found["terms"]):
-            mine = [(k, int(s), int(e), 0.0) for k, s, e in (x.split(":") for x in base.split(","))] if base else []
+            mine = [(*x, 0.0) for x in _spans(base)] if base else []
             if terms is not None:
                 mine += [(TERM, int(x["s"]), int(x["e"]), float(x["npmi"])) for x in terms]
             out.append(rewrite(t, mine, remove_at))

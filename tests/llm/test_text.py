@@ -136,6 +136,22 @@ def test_pii_disclosing_terms(spark):
     assert "Zyrkon" not in clean[1000] and "zk@" not in clean[1000] and "<email>" in clean[1000] and "Lonely <email>" in clean[2000]
 
 
+def test_pii_terms_of_the_whole_document(spark):
+    """A disclosing term is marked wherever it stands in the documents of its entity, however far from the pattern span."""
+    common = "the of and to in is that it was for on are as with his they at be this from have or by one had not".split()
+    r = random.Random(10)
+    fill = lambda n: " ".join(r.choice(common) for _ in range(n))
+    rows = [(i, fill(60)) for i in range(300)]
+    rows += [(1000 + i, f"Zyrkon {fill(200)} zk@mail.example.com {fill(200)} ZYRKON, {fill(30)} Zyrkon") for i in range(3)]
+    rows += [(2000, f"Lonely {fill(20)} one@mail.example.com {fill(20)} Lonely"), (2001, f"{fill(20)} Zyrkon"), rows[301]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((x.doc_id, [dict(rows)[x.doc_id][t.s : t.e] for t in x.terms or []]) for x in pii.detect(df).collect())
+    assert got == sorted((i, ["Zyrkon", "ZYRKON", "Zyrkon"] if 1000 <= i < 2000 else []) for i, _ in rows)
+    assert all("zyrkon" not in x.text.lower() for x in pii.sanitise(df).where("doc_id between 1000 and 1999").collect())
+    lone = {x.doc_id: [dict(rows)[x.doc_id][t.s : t.e] for t in x.terms or []] for x in pii.detect(df, support=1).collect()}
+    assert lone[2000] == ["Lonely", "Lonely"] and lone[1000] == ["Zyrkon", "ZYRKON", "Zyrkon"] and not lone[2001]
+
+
 def test_licenses(spark, docs, none):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction,\nincluding without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so,\nsubject to the following conditions: "
     notice = "The above copyright notice and this permission notice shall be included in all copies or\nsubstantial portions of the Software. "
