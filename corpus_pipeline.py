@@ -33,8 +33,8 @@ def sanitisation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def tokenisation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, the ids of the best segmentation, and the scores of the four best."""
-    return pieces.encode(docs, pieces.Model.load(pieces.MODEL_FILE), n=4).select("doc_id", "n_pieces", "ids", "nbest_scores", "ids_sha256", "round_trip")
+    """doc_id, the ids of the best segmentation, and the scores and ids of the four best."""
+    return pieces.encode(docs, pieces.Model.load(pieces.MODEL_FILE), n=4).select("doc_id", "n_pieces", "ids", "nbest_scores", "nbest", "ids_sha256", "round_trip")
 
 
 STAGES = [

@@ -5,7 +5,8 @@ one has the greatest sum. Pieces hold the word mark only at their start, so a te
 marks (and around characters without a piece, which become bytes), and paths of segments are independent.
 Forward Viterbi runs over all distinct segments of a batch at once. N-best: a backward A* search over a segment's
 lattice takes the forward scores as exact heuristics, so it expands nothing that isn't on one of the N paths. A text's N
-best combine the alternatives of the N - 1 segments whose second-best paths lose least; no others can occur in them.
+best combine the alternatives of the N - 1 segments whose second-best paths lose least; no others can occur in them. Each of
+the N has its piece ids.
 
 The model file gives pieces and scores. A BPE file's scores are merge ranks: the lattice's best path maximises
 their sum and may differ from applying merges in turn. Normalisation is the file's own: spaces become marks, one is put in
@@ -22,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -84,7 +86,7 @@ class _Lattice:
         raw = [bytes([model.byte_ids.index(i)]) if i in set(model.byte_ids) else (t.replace(chr(MARK), " ").encode() if model.usable[i] else b"") for i, t in enumerate(model.texts)]
         self.raw, stop = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([len(r) for r in raw])
         self.raw_at = np.r_[0, stop]
-        self.cache: dict[tuple[str, int], list[float]] = {}
+        self.cache: dict[tuple[str, int], list[tuple[float, list[int]]]] = {}
 
     def pieces_at(self, prefix: np.ndarray, width: int) -> np.ndarray:
         """The piece that each window of a sequence of codes is, or -1."""
@@ -139,11 +141,14 @@ class _Lattice:
                 order -= 1  # of equal scores the latest first: in depth, as there can be exponentially many
         return out
 
-    def losses(self, text: str, n: int) -> list[float]:
-        """How much each of the n best of a segment loses against the best."""
+    def alternatives(self, text: str, n: int, first: list[int]) -> list[tuple[float, list[int]]]:
+        """(loss against the best, piece ids) of the n best of a segment, of which `first`, a best one, comes first."""
         if (got := self.cache.get((text, n))) is None:
-            found = [score for score, _ in self.search(text, n)]
-            got = [found[0] - x for x in found]
+            found = self.search(text, n)
+            best = found[0][0]
+            # of more than n equal ones the search may have left `first` out: it then takes the place of the last
+            others = [(max(best - score, 0.0), ids) for score, ids in found if ids != first]
+            got = [(0.0, first), *others[: n - 1]]
             if len(self.cache) > 200_000:
                 self.cache.clear()
             self.cache[text, n] = got
@@ -220,6 +225,11 @@ class _Lattice:
 
     def encode(self, texts: list[str], n: int) -> Iterator[tuple[np.ndarray, list[float]]]:
         """(ids of the best segmentation, scores of the n best) of each text. An empty text has no pieces, and score 0."""
+        for found in self.nbest(texts, n):
+            yield found[0][1], [score for score, _ in found]
+
+    def nbest(self, texts: list[str], n: int) -> Iterator[list[tuple[float, np.ndarray]]]:
+        """(score, ids) of the n best segmentations of each text, best first; fewer where there are fewer."""
         marked = [chr(MARK) + t.replace(" ", chr(MARK)) if t else "" for t in texts]
         codes = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).astype(np.int64)
         offs = np.r_[0, np.cumsum([len(t) for t in marked])].astype(np.int64)
@@ -236,39 +246,52 @@ class _Lattice:
         count = np.diff(np.append(at, len(ids)))
         segment = np.searchsorted(start, offs)
         every = gather(ids, at[which], at[which] + count[which]) if len(which) else ids
-        stop = np.r_[0, np.cumsum(count[which])][segment]
+        upto = np.r_[0, np.cumsum(count[which])].astype(np.int64)
         total = np.r_[0.0, np.cumsum(score[which])][segment]
         for d in range(len(texts)):
             i, j = segment[d], segment[d + 1]
             mine = which[i:j]
             worst = loss[mine]
             near = np.argpartition(worst, min(n - 1, len(worst) - 1))[: n - 1] if n > 1 and len(worst) > n - 1 else np.arange(len(worst)) if n > 1 else []
-            sums = [0.0]
+            sums = [(0.0, ())]
             for k in sorted(near, key=lambda k: (worst[k], k)):
                 if worst[k] == np.inf:
                     continue
                 u = first[mine[k]]
                 text = codes[start[u] : end[u]].astype("<u4").tobytes().decode("utf-32-le")
-                sums = heapq.nsmallest(n, (a + b for a in sums for b in self.losses(text, n)))
-            yield every[stop[d] : stop[d + 1]], [float(total[d + 1] - total[d] - x) for x in sums]
+                ways = self.alternatives(text, n, ids[at[mine[k]] : at[mine[k]] + count[mine[k]]].tolist())
+                sums = heapq.nsmallest(n, ((a + b, (*path, (int(k), way)) if x else path) for a, path in sums for x, (b, way) in enumerate(ways)), key=lambda x: x[0])
+            out = []
+            for lost, path in sums:
+                last, parts = upto[i], []
+                for k, way in sorted(path, key=lambda x: x[0]):
+                    parts += [every[last : upto[i + k]], np.array(way, np.int64)]
+                    last = upto[i + k + 1]
+                out.append((float(total[d + 1] - total[d] - lost), np.concatenate([*parts, every[last : upto[j]]])))
+            yield out
 
     def decode(self, ids: np.ndarray) -> str:
         raw = gather(self.raw, self.raw_at[ids], self.raw_at[ids + 1]).tobytes().decode(errors="replace") if len(ids) else ""
         return raw[1:] if raw.startswith(" ") else raw
 
 
+def _lists(ids: list[np.ndarray]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(i) for i in ids])], pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
+
+
 def encode(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, n: int = 4, piece_bytes: int = 4 << 20) -> DataFrame:
     """The columns `keep` of each row, ids (array<int>) of the best segmentation, n_pieces, the scores of the n best
-    (nbest_scores, descending; fewer where the lattice has fewer paths), ids_sha256 and round_trip.
+    (nbest_scores, descending; fewer where the lattice has fewer paths), ids_sha256, round_trip, the n best themselves (nbest, an
+    array of (score, ids), the best one first) and the digest of each (nbest_sha256).
 
-    ids_sha256 is of the ids as little-endian 32-bit integers. Null and empty texts have no pieces and one score, 0. round_trip tells
-    whether decoding the ids gives the text (word marks as spaces). Repeated rows give repeated results; other columns
+    Digests are of ids as little-endian 32-bit integers. Null and empty texts have no pieces and one score, 0. round_trip tells
+    whether decoding the ids of each of the n best gives the text (word marks as spaces). Repeated rows give repeated results; other columns
     are ignored. The model, whose vocabulary bounds it, is broadcast.
     """
     keep = keep or ["doc_id"]
     source = docs.select(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)), F.col(f"`{text_col}`").cast("string").alias("text"))
     schema = source.drop("text").schema
-    extra = [("ids", "array<int>", pa.list_(pa.int32())), ("n_pieces", "long", pa.int64()), ("nbest_scores", "array<double>", pa.list_(pa.float64())), ("ids_sha256", "string", pa.string()), ("round_trip", "boolean", pa.bool_())]
+    extra = [("ids", "array<int>", pa.list_(pa.int32())), ("n_pieces", "long", pa.int64()), ("nbest_scores", "array<double>", pa.list_(pa.float64())), ("ids_sha256", "string", pa.string()), ("round_trip", "boolean", pa.bool_()), ("nbest", "array<struct<score: double, ids: array<int>>>", pa.list_(pa.struct([("score", pa.float64()), ("ids", pa.list_(pa.int32()))]))), ("nbest_sha256", "array<string>", pa.list_(pa.string()))]
     schema = StructType([*schema.fields, *StructType.fromDDL(", ".join(f"{name} {kind}" for name, kind, _ in extra)).fields])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -277,12 +300,38 @@ def encode(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str
         for batch in batches:
             for row, part in texts_of(batch.column("text")).pieces(piece_bytes):
                 texts = [part.data[i:j].tobytes().decode() for i, j in zip(part.offs[:-1], part.offs[1:])]
-                found = list(lattice.encode(texts, n))
-                ids = [i.astype("<i4") for i, _ in found]
-                offs = np.r_[0, np.cumsum([len(i) for i in ids])].astype(np.int32)
-                columns = [pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(np.concatenate(ids))), pa.array([len(i) for i in ids], pa.int64()), pa.array([s for _, s in found], pa.list_(pa.float64())), pa.array([hashlib.sha256(i.tobytes()).hexdigest() for i in ids]), pa.array([lattice.decode(i) == t.replace(chr(MARK), " ") for (i, _), t in zip(found, texts)], pa.bool_())]
+                found = [[(score, i.astype("<i4")) for score, i in x] for x in lattice.nbest(texts, n)]
+                digests = [[hashlib.sha256(i.tobytes()).hexdigest() for _, i in x] for x in found]
+                first, each = _lists([x[0][1] for x in found]), [y for x in found for y in x]
+                ways = pa.StructArray.from_arrays([pa.array([score for score, _ in each], pa.float64()), _lists([i for _, i in each])], names=["score", "ids"])
+                ways = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in found])], pa.int32()), ways)
+                whole = [all(lattice.decode(i) == t.replace(chr(MARK), " ") for _, i in x) for x, t in zip(found, texts)]
+                columns = [first, pa.array([len(x[0][1]) for x in found], pa.int64()), pa.array([[score for score, _ in x] for x in found], pa.list_(pa.float64())), pa.array([x[0] for x in digests]), pa.array(whole, pa.bool_()), ways, pa.array(digests, pa.list_(pa.string()))]
                 kept = batch.slice(row, len(part)).columns[:-1]
                 yield pa.RecordBatch.from_arrays([*kept, *columns], names=[*(f"k{i}" for i in range(len(keep))), *(x[0] for x in extra)])
 
     out = source.mapInArrow(run, schema)
     return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), *(x[0] for x in extra))
+
+
+def decode(docs: DataFrame, model: Model, ids_col: str = "ids", keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` of each row and text, which its ids stand for. Null ids give a null text, empty ones an empty text.
+
+    An id that is null or not in the model is an error. Bytes that are not UTF-8 become U+FFFD.
+    """
+    keep = keep or ["doc_id"]
+    source = docs.select(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)), F.col(f"`{ids_col}`").cast("array<int>").alias("ids"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = shared.value.prepare()
+        for batch in batches:
+            texts = []
+            for row in batch.column("ids"):
+                if row.values is not None and (row.values.null_count or len(row.values) and not 0 <= pc.min(row.values).as_py() <= pc.max(row.values).as_py() < len(lattice.raw_at) - 1):
+                    raise ValueError("an id is null or not in the model")
+                texts.append(None if row.values is None else lattice.decode(row.values.to_numpy().astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*(f"k{i}" for i in range(len(keep))), "text"])
+
+    out = source.mapInArrow(run, source.drop("ids").schema.add("text", "string"))
+    return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "text")

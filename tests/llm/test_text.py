@@ -242,6 +242,27 @@ def test_pieces_table(docs, none, model):
     assert {tuple(r.nbest_scores) for r in got if not r.n_pieces} == {(0.0,)} and pieces.encode(none, model).collect() == []
 
 
+@pytest.mark.parametrize("n", [1, 2, 5])
+def test_pieces_nbest_ids(spark, model, n):
+    """Each of the n best has its own ids, which add up to its score and decode to the text, also by the operator."""
+    lattice, r = model.prepare(), random.Random(n)
+    texts = [None, "", "Hello world", "the the the", "a" * 70 + " b", "日本 😀 x another"] + ["".join(r.choice("the an on\n ") for _ in range(r.randint(1, 40))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = pieces.encode(docs, model, n=n).cache()
+    for x in out.collect():
+        text = texts[x.doc_id] or ""
+        assert [y.score for y in x.nbest] == x.nbest_scores == pytest.approx(brute_paths(lattice, text, n)) and x.nbest[0].ids == x.ids
+        assert len({tuple(y.ids) for y in x.nbest}) == len(x.nbest) and x.round_trip
+        assert x.nbest_sha256 == [hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in y.ids)).hexdigest() for y in x.nbest] and x.nbest_sha256[0] == x.ids_sha256
+        if all(lattice.known[ord(c)] for c in text):
+            assert [sum(model.scores[y.ids]) for y in x.nbest] == pytest.approx(x.nbest_scores)
+    ways = out.select("doc_id", F.explode("nbest.ids").alias("w"))
+    assert all(x.text == (texts[x.doc_id] or "") for x in pieces.decode(ways, model, "w").collect())
+    assert pieces.decode(spark.createDataFrame([(1, None)], "doc_id long, ids array<int>"), model).first().text is None
+    with pytest.raises(Exception, match="not in the model"):
+        pieces.decode(spark.createDataFrame([(1, [10**6])], "doc_id long, ids array<int>"), model).collect()
+
+
 def test_pipeline(spark, tmp_path):
     """Each stage against brute force on what it got."""
     import corpus_pipeline as cp
