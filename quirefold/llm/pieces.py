@@ -8,9 +8,9 @@ lattice takes the forward scores as exact heuristics, so it expands nothing that
 best combine the alternatives of the N - 1 segments whose second-best paths lose least; no others can occur in them. Each of
 the N has its piece ids.
 
-The model file gives pieces and scores. A BPE file's scores are merge ranks: the lattice's best path maximises
-their sum and may differ from applying merges in turn. Normalisation is the file's own: spaces become marks, one is put in
-front. Decoding gives the text back exactly, but for word marks (U+2581) in the text itself, which become spaces.
+The model file gives pieces and scores. Scores are log-probabilities, as in a unigram file. A BPE file has merge ranks instead;
+they become log-probabilities by the law of Zipf and Mandelbrot, so that a path's sum means what it does in a unigram model. No
+tokenizer is trained. Normalisation is the file's own: spaces become marks, one is put in front. Decoding gives the text back exactly, but for word marks (U+2581) in the text itself, which become spaces.
 """
 
 from __future__ import annotations
@@ -28,13 +28,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quirefold.llm.textcore import U64, Poly, gather, mix, texts_of
+from quirefold.llm.textcore import U64, equal_classes, gather, join, mix, span_hashes, texts_of
 
 #: Where the public model file is here; load() takes any path.
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = 0x2581
 LONG = 48  # code points beyond which a segment is done by itself
-CODES = Poly(3)
+MANDELBROT = 2.7  # shift of ranks in p(rank) ~ 1 / (rank + shift)
+
+
+def rank_scores(scores: np.ndarray, usable: np.ndarray) -> np.ndarray:
+    """Scores as log-probabilities. Those of a BPE file are 0, -1, -2, ..., each once; any others are taken as they are."""
+    rank = -scores[usable]
+    if len(rank) < 2 or not np.array_equal(np.sort(rank), np.arange(len(rank))):
+        return scores
+    out = np.full(len(scores), np.log(1 / (len(rank) - 1 + MANDELBROT)))
+    out[usable] = -np.log(rank + MANDELBROT)
+    return out - np.log(np.exp(out[usable]).sum())
+
+
+def _codes_hash(codes: np.ndarray) -> np.ndarray:
+    return mix(codes.astype(U64) + U64(1))
 
 
 @dataclass
@@ -55,7 +69,7 @@ class Model:
         texts = [sp.id_to_piece(i) for i in range(n)]
         byte_ids = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         usable = np.array([not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i)) for i in range(n)])
-        model = cls(texts, np.array([sp.get_score(i) for i in range(n)]), usable, byte_ids)
+        model = cls(texts, rank_scores(np.array([sp.get_score(i) for i in range(n)]), usable), usable, byte_ids)
         if any(chr(MARK) in t.lstrip(chr(MARK)) for t, u in zip(texts, usable) if u) or not all(map(sp.is_byte, byte_ids)):
             raise ValueError("pieces must hold word marks in front only, and there must be a piece for each byte")
         return model
@@ -74,24 +88,33 @@ class _Lattice:
         self.score = np.append(model.scores, -np.inf)  # index -1: no piece
         self.known = np.zeros(0x110000, bool)
         self.known[[ord(t) for t in self.ids if len(t) == 1]] = True
-        codes = np.frombuffer("".join(self.ids).encode("utf-32-le"), np.uint32)
-        ends = np.cumsum([len(t) for t in self.ids])
-        prints = CODES.spans(CODES.prefix(mix(codes.astype(U64))), np.r_[0, ends[:-1]], ends)
+        prints = np.zeros(len(ids), U64)
+        size = np.array([len(t) for t in self.ids])
+        for w in np.unique(size):
+            mine = np.flatnonzero(size == w)
+            h = _codes_hash(np.frombuffer("".join(t for t in self.ids if len(t) == w).encode("utf-32-le"), np.uint32).reshape(-1, w))
+            prints[mine] = self.grown(h[:, 0], h[:, 1:].T)
         order = np.argsort(prints)
         self.prints, self.piece = prints[order], np.array(list(self.ids.values()))[order]
         self.maybe = np.zeros(1 << 22, bool)
         self.maybe[self.prints >> U64(42)] = True
-        self.head = np.searchsorted(self.prints >> U64(44), np.arange((1 << 20) + 1, dtype=U64)).astype(np.int32)  # by the top 20 bits
-        self.deepest = int(np.diff(self.head).max())
+        head = np.searchsorted(self.prints >> U64(44), np.arange((1 << 20) + 1, dtype=U64))  # by the top 20 bits
+        self.deepest, self.head = int(np.diff(head).max()), np.minimum(head, len(self.prints) - 1).astype(np.int32)
         raw = [bytes([model.byte_ids.index(i)]) if i in set(model.byte_ids) else (t.replace(chr(MARK), " ").encode() if model.usable[i] else b"") for i, t in enumerate(model.texts)]
         self.raw, stop = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([len(r) for r in raw])
         self.raw_at = np.r_[0, stop]
         self.cache: dict[tuple[str, int], list[tuple[float, list[int]]]] = {}
 
-    def pieces_at(self, prefix: np.ndarray, width: int) -> np.ndarray:
-        """The piece that each window of a sequence of codes is, or -1."""
-        h = CODES.windows(prefix, width)
-        out = np.full(len(prefix) - 1, -1, np.int32)
+    @staticmethod
+    def grown(h: np.ndarray, more) -> np.ndarray:
+        """Hashes of sequences that start as h says and go on by each of `more` in turn."""
+        for x in more:
+            h = join(h, x, 0)
+        return h
+
+    def pieces_at(self, h: np.ndarray, n: int) -> np.ndarray:
+        """The piece that each window of a sequence of n codes is, by the windows' hashes, or -1."""
+        out = np.full(n, -1, np.int32)
         some = np.flatnonzero(self.maybe[h >> U64(42)])
         wanted = h[some]
         at = self.head[wanted >> U64(44)]
@@ -186,9 +209,12 @@ class _Lattice:
             length = size[mine]
             own = gather(codes, start[mine], start[mine] + length)
             base = np.cumsum(length) - length
-            prefix = CODES.prefix(mix(own.astype(U64)))
             top = int(length[0])
-            piece = [None, *(self.pieces_at(prefix, w) for w in range(1, min(top, self.longest) + 1))]
+            single = _codes_hash(own)
+            h, piece = single, [None, self.pieces_at(single, len(own))]
+            for w in range(2, min(top, self.longest) + 1):
+                h = join(h[:-1], single[w - 1 :], 0)
+                piece.append(self.pieces_at(h, len(own)))
             best = np.full((len(mine), top + 1), -np.inf)
             best[:, 0] = 0
             gap, back = np.full((len(mine), top + 1), np.inf), np.zeros((len(mine), top + 1), np.int8)
@@ -240,8 +266,8 @@ class _Lattice:
         opens[offs[:-1][offs[:-1] < len(codes)]] = True
         start = np.flatnonzero(opens)
         end = np.append(start[1:], len(codes))[: len(start)]
-        prints = CODES.spans(CODES.prefix(mix(codes.astype(U64))), start, end)
-        _, first, which = np.unique(prints, return_index=True, return_inverse=True)
+        raw = codes.astype("<u4").view(np.uint8)
+        _, first, which = np.unique(equal_classes(raw, 4 * start, 4 * end, span_hashes(raw, 4 * start, 4 * end)), return_index=True, return_inverse=True)
         score, loss, at, ids = self.viterbi(codes, start[first], (end - start)[first])
         count = np.diff(np.append(at, len(ids)))
         segment = np.searchsorted(start, offs)

@@ -1,4 +1,4 @@
-"""PII: pattern spans, and information-theoretic sanitisation of the terms around them.
+"""PII: pattern spans, and information-theoretic sanitisation of the terms that disclose them.
 
 Four kinds of personal data are found by pattern; a value found is a protected entity. For every term of a document with
 an entity, document frequencies over the whole corpus give the normalised pointwise mutual information of the two,
@@ -6,10 +6,12 @@ an entity, document frequencies over the whole corpus give the normalised pointw
     npmi = log2(d(t,e) N / (d(t) d(e))) / log2(N / d(t,e)),
 
 how much of the entity the term discloses: near 1 for a name that occurs only in documents with one address, near 0 for a
-common word. A pair that `support` different texts have and whose npmi reaches `generalise_at` is disclosing: in the texts
-of the entity, every occurrence of the term is a span of kind `term`, replaced by its class, or removed from `remove_at` on.
-Texts without an entity have no such term. An entity or a pair of fewer texts than `support` gives none either; `support`
-1 takes these in.
+common word. A term whose npmi with some entity reaches `generalise_at` in `support` contexts is disclosing: every occurrence of it
+in the corpus, with or without the entity, is a span of kind `term`, replaced by its class, or removed from `remove_at` on.
+
+Copies of one text are one context, however many they are: contexts are told apart by min-hashes of five-word
+shingles, and two texts count as two only if all of the min-hashes differ. An entity or a pair of fewer contexts than
+`support` gives no term; `support` 1 takes single texts in.
 """
 
 from __future__ import annotations
@@ -17,14 +19,15 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.llm import common
-from quirefold.llm.textcore import LOWER, TERMS, A, spans_of, texts_of
+from quirefold.llm.textcore import LOWER, TERMS, U64, Runs, Texts, mix, span_hashes, spans_of, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -106,7 +109,17 @@ def _spans(base: str) -> list[tuple[str, int, int]]:
 def term_hashes(terms: list[bytes]) -> np.ndarray:
     offs = np.concatenate([[0], np.cumsum([len(t) for t in terms])]).astype(np.int64)
     data = LOWER[np.frombuffer(b"".join(terms), np.uint8)]
-    return A.spans(A.of_bytes(data), offs[:-1], offs[1:]).view(np.int64) if terms else np.zeros(0, np.int64)
+    return span_hashes(data, offs[:-1], offs[1:]).view(np.int64) if terms else np.zeros(0, np.int64)
+
+
+CONTEXTS = 4  # min-hashes of a text
+
+
+def contexts(terms: np.ndarray) -> list[int]:
+    """Min-hashes of the five-word shingles of a text's terms in order; a shorter text is one shingle."""
+    h = terms.view(U64)
+    grams = Runs(h, 1).windows(min(5, len(h))) if len(h) else np.zeros(1, U64)
+    return [int((mix(grams ^ U64(k * 0x9E3779B97F4A7C15 % 2**64))).min().astype(np.int64)) for k in range(1, CONTEXTS + 1)]
 
 
 FOUND = "doc_id long, row_key struct<a: long, b: long>, " + "".join(f"n_{k} long, " for k in KINDS) + "base string, entities array<long>, text string"
@@ -131,42 +144,49 @@ def found(docs: DataFrame) -> DataFrame:
 
 
 def pairs_of(texts: DataFrame) -> DataFrame:
-    """(row_key, copies, entity, term), once for each, of texts (row_key, copies, base, text, entities)."""
+    """(copies, m1, m2, ..., entity, term), once for each text, of texts (copies, base, text, entities)."""
+    names = ["copies", *(f"m{k}" for k in range(1, CONTEXTS + 1)), "entity", "term"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(len(batch)):
-                base, text, entities = (batch.column(c)[i].as_py() for c in ("base", "text", "entities"))
-                terms = np.unique(_terms(text, _spans(base))[0])
+            for copies, base, text, entities in zip(*(batch.column(c).to_pylist() for c in ("copies", "base", "text", "entities"))):
+                every = _terms(text, _spans(base))[0]
+                terms, marks = np.unique(every), contexts(every)
                 for lo in range(0, len(entities), step := max(1, (1 << 18) // max(1, len(terms)))):
                     some = np.array(entities[lo : lo + step], np.int64)
-                    row = pa.array(np.full(len(some) * len(terms), i))
-                    yield pa.RecordBatch.from_arrays([batch.column("row_key").take(row), batch.column("copies").take(row), pa.array(np.repeat(some, len(terms))), pa.array(np.tile(terms, len(some)))], names=["row_key", "copies", "entity", "term"])
-
-    return texts.select("row_key", "copies", "base", "text", "entities").mapInArrow(run, "row_key struct<a: long, b: long>, copies long, entity long, term long")
-
-
-def located(texts: DataFrame) -> DataFrame:
-    """(row_key, terms) of texts (row_key, base, text, bad): every occurrence of the terms in `bad`, an array of (term, npmi)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("npmi", pa.float64())]))
-        for batch in batches:
-            out = []
-            for base, text, bad in zip(*(batch.column(c).to_pylist() for c in ("base", "text", "bad"))):
-                npmi = {x["term"]: x["npmi"] for x in bad}
-                out.append([{"s": s, "e": e, "npmi": npmi[h]} for h, s, e in zip(*(x.tolist() for x in _terms(text, _spans(base)))) if h in npmi])
-            yield pa.RecordBatch.from_arrays([batch.column("row_key"), pa.array(out, kind)], names=["row_key", "terms"])
-
-    return texts.select("row_key", "base", "text", "bad").mapInArrow(run, "row_key struct<a: long, b: long>, terms array<struct<s: int, e: int, npmi: double>>")
+                    n = len(some) * len(terms)
+                    yield pa.RecordBatch.from_arrays([*(pa.array(np.full(n, x, np.int64)) for x in (copies, *marks)), pa.array(np.repeat(some, len(terms))), pa.array(np.tile(terms, len(some)))], names=names)
+
+    return texts.select("copies", "base", "text", "entities").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
+def marked(texts: Texts, spans: list[list[tuple[str, int, int]]], terms: np.ndarray, npmi: np.ndarray) -> list[list[tuple[int, int, float]]]:
+    """For each text of a batch, (start, end, npmi) in code points of every occurrence of the `terms` (ascending) that touches no
+    pattern span."""
+    out: list[list[tuple[int, int, float]]] = [[] for _ in range(len(texts))]
+    for row, part in texts.pieces(1 << 20):
+        words = spans_of(part, TERMS)
+        if not len(words) or not len(terms):
+            continue
+        found = span_hashes(LOWER[part.data], words.start, words.end).view(np.int64)
+        at = np.minimum(np.searchsorted(terms, found), len(terms) - 1)
+        hits = np.flatnonzero(terms[at] == found)
+        if not len(hits):
+            continue
+        points = np.concatenate([[0], np.cumsum((part.data & 0xC0) != 0x80)])
+        for i in hits.tolist():
+            d = int(words.doc[i])
+            s, e = (int(points[x] - points[part.offs[d]]) for x in (words.start[i], words.end[i]))
+            if not any(a < e and s < b for _, a, b in spans[row + d]):
+                out[row + d].append((s, e, float(npmi[at[i]])))
+    return out
 
 
 def term_counts(docs: DataFrame, flush: int = 1 << 21) -> DataFrame:
-    """(term, n), the documents of the whole corpus that have it; the row with a null term has the number of all documents."""
+    """(term, n), the documents of the whole corpus that have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        total = 0
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
             values, which = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
@@ -175,9 +195,8 @@ def term_counts(docs: DataFrame, flush: int = 1 << 21) -> DataFrame:
         for batch in batches:
             for _, part in texts_of(batch.column("text")).pieces(1 << 20):
                 words = spans_of(part, TERMS)
-                total += len(part)
                 if len(words):
-                    prints = A.spans(A.of_bytes(LOWER[part.data]), words.start, words.end)
+                    prints = span_hashes(LOWER[part.data], words.start, words.end)
                     order = np.lexsort((words.doc, prints))
                     prints, doc = prints[order], words.doc[order]
                     once = np.r_[True, (prints[1:] != prints[:-1]) | (doc[1:] != doc[:-1])]
@@ -190,43 +209,104 @@ def term_counts(docs: DataFrame, flush: int = 1 << 21) -> DataFrame:
         if held:
             values, n = merged()
             yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n)], names=["term", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total], pa.int64())], names=["term", "n"])
 
     return docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def disclosing(pairs: DataFrame, counts: DataFrame, entities: DataFrame, total: int, generalise_at: float) -> DataFrame:
-    """(entity, term, npmi) of the pairs (entity, term, c) that reach the threshold. A term in all documents discloses nothing."""
-    pairs = pairs.join(counts, "term").join(entities, "entity")
+def _seen(support: int) -> Column:
+    """Whether the texts of a group have `support` contexts: exact up to two, an estimate from sketches of bounded size beyond."""
+    marks = [f"m{k}" for k in range(1, CONTEXTS + 1)]
+    if support <= 1:
+        return F.count(F.lit(1)) > 0
+    if support == 2:
+        return reduce(Column.__and__, (F.max(m) > F.min(m) for m in marks))
+    return F.least(*(F.approx_count_distinct(m, 0.01) for m in marks)) >= support
+
+
+def npmi(pair: Column, term: Column, entity: Column, total: int) -> Column:
+    """Of document frequencies. A pair in all documents discloses nothing."""
     n = F.lit(float(total))
-    npmi = F.when(F.col("c") < n, F.log2(F.col("c") * n / (F.col("n") * F.col("c_e"))) / F.log2(n / F.col("c")))
-    return pairs.select("entity", "term", npmi.alias("npmi")).where(F.col("npmi") >= generalise_at)
+    return F.when(pair < n, F.log2(pair * n / (term * entity)) / F.log2(n / pair))
+
 
+def disclosing(docs: DataFrame, support: int = 2, generalise_at: float = 0.6) -> DataFrame:
+    """(term, npmi) of the disclosing terms of rows (doc_id, row_key, text): the term's hash, its greatest npmi with an entity."""
+    hits = common.checkpoint(found(docs))
+    some = hits.where("base <> ''").groupBy("row_key").agg(F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in ("base", "entities", "text")))
+    each = hits.where("base <> ''").groupBy("row_key").agg(F.count(F.lit(1)).alias("copies"), F.first("entities").alias("entities")).select("row_key", "copies", F.explode("entities").alias("entity"))
+    # a pair has no more texts than its entity: entities below the support can't have a disclosing term
+    entities = common.checkpoint(each.groupBy("entity").agg(F.sum("copies").alias("c_e"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support).drop("texts"))
+    shared = each.join(entities, "entity", "left_semi").groupBy("row_key").agg(F.collect_list("entity").alias("entities"))
+    near = pairs_of(some.drop("entities").join(shared, "row_key"))
+    pairs = common.checkpoint(near.groupBy("entity", "term").agg(F.sum("copies").alias("c"), _seen(support).alias("seen")).where("seen").drop("seen"))
+    counts = term_counts(docs).join(pairs.select("term").distinct(), "term", "left_semi")
+    scored = pairs.join(counts, "term").join(entities, "entity").select("term", npmi(F.col("c"), F.col("n"), F.col("c_e"), max(hits.count(), 2)).alias("npmi"))
+    return common.checkpoint(scored.where(F.col("npmi") >= generalise_at).groupBy("term").agg(F.max("npmi").alias("npmi")))
 
-def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 2, generalise_at: float = 0.6) -> DataFrame:
-    """One row for each input row: doc_id, row_key, n_email, n_ip, n_card, n_phone, base (the pattern spans) and
+
+#: Disclosing terms that may be broadcast, 16 bytes each; beyond that they are joined by a shuffle.
+BROADCAST_TERMS = 1_000_000
+
+
+def _terms_by_row(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(row_key, bad), where bad is an array of the (term, npmi) that the row has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, part in texts_of(batch.column("text")).pieces(1 << 20):
+                words = spans_of(part, TERMS)
+                both = np.unique(np.stack([words.doc, span_hashes(LOWER[part.data], words.start, words.end).view(np.int64)], 1), axis=0) if len(words) else np.zeros((0, 2), np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("row_key").take(pa.array(both[:, 0] + row)), pa.array(np.ascontiguousarray(both[:, 1]))], names=["row_key", "term"])
+
+    rows = docs.select("row_key", "text").dropDuplicates(["row_key"]).mapInArrow(run, "row_key struct<a: long, b: long>, term long")
+    return rows.join(terms, "term").groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct("term", "npmi"))).alias("bad"))
+
+
+def _scan(docs: DataFrame, terms: DataFrame, make, schema: str, broadcast_terms: int) -> DataFrame:
+    """Applies make(batch, texts, pattern spans, term spans) to batches of rows (..., row_key, text)."""
+    small = terms.count() <= broadcast_terms
+    packed = np.zeros(0, np.int64), np.zeros(0)
+    if small:
+        rows = terms.orderBy("term").collect()
+        packed = np.array([r["term"] for r in rows], np.int64), np.array([r["npmi"] for r in rows], np.float64)
+    else:
+        docs = docs.join(_terms_by_row(docs, terms), "row_key", "left")
+    shared = docs.sparkSession.sparkContext.broadcast(packed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            spans = [find(t) for t in texts]
+            if small:
+                terms_of = marked(texts_of(batch.column("text")), spans, *shared.value)
+            else:
+                terms_of = []
+                for i, bad in enumerate(batch.column("bad").to_pylist()):
+                    bad = bad or []
+                    terms_of += marked(texts_of(batch.column("text").slice(i, 1)), spans[i : i + 1], np.array([x["term"] for x in bad], np.int64), np.array([x["npmi"] for x in bad], np.float64))
+            yield make(batch, texts, spans, terms_of)
+
+    return docs.mapInArrow(run, schema)
+
+
+def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 2, generalise_at: float = 0.6, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
+    """One row for each input row: doc_id, n_email, n_ip, n_card, n_phone, base (the pattern spans) and
     terms, an array of (s, e, npmi).
 
     Spans are of the whole text, in code points, end exclusive. Null and empty texts have none. Equal rows get equal results, and
-    count as one text in `support`. A null id is carried through; other columns are ignored.
+    count as one context in `support`. A null id is carried through; other columns are ignored.
     """
     docs = common.two(docs, id_col, text_col)
     docs = docs.withColumn("row_key", common.row_key("doc_id", "text"))
-    hits = common.checkpoint(found(docs))
-    some = hits.where(F.col("base") != "").groupBy("row_key").agg(F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in ("base", "entities", "text")))
-    each = hits.where(F.col("base") != "").groupBy("row_key").agg(F.count(F.lit(1)).alias("copies"), F.first("entities").alias("entities")).select("row_key", "copies", F.explode("entities").alias("entity"))
-    # a pair has no more texts than its entity: entities below the support can't have a disclosing term
-    entities = common.checkpoint(each.groupBy("entity").agg(F.sum("copies").alias("c_e"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support).drop("texts"))
-    shared = each.join(entities, "entity", "left_semi").groupBy("row_key").agg(F.collect_list("entity").alias("entities"))
-    near = pairs_of(some.drop("entities").join(shared, "row_key"))
-    pairs = common.checkpoint(near.groupBy("entity", "term").agg(F.sum("copies").alias("c"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support).drop("texts"))
-    counts = term_counts(docs)
-    kept = common.checkpoint(counts.join(pairs.select("term").distinct(), "term", "left_semi").unionByName(counts.where("term IS NULL")))
-    total = kept.where("term IS NULL").first()
-    bad = disclosing(pairs, kept, entities, max(total["n"] if total else 1, 2), generalise_at)
-    bad = near.select("row_key", "entity", "term").join(bad, ["entity", "term"]).groupBy("row_key", "term").agg(F.max("npmi").alias("npmi"))
-    bad = bad.groupBy("row_key").agg(F.collect_list(F.struct("term", "npmi")).alias("bad"))
-    return hits.drop("entities", "text").join(located(some.drop("entities").join(bad, "row_key")), "row_key", "left")
+    kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("npmi", pa.float64())]))
+
+    def make(batch, texts, spans, terms_of):
+        counts = [pa.array([sum(k == kind_ for k, _, _ in x) for x in spans], pa.int64()) for kind_ in KINDS]
+        terms = pa.array([[{"s": s, "e": e, "npmi": v} for s, e, v in x] for x in terms_of], kind)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, pa.array(map(join_spans, spans), pa.string()), terms], names=["doc_id", *(f"n_{k}" for k in KINDS), "base", "terms"])
+
+    schema = "doc_id long, " + "".join(f"n_{k} long, " for k in KINDS) + "base string, terms array<struct<s: int, e: int, npmi: double>>"
+    return _scan(docs, disclosing(docs, support, generalise_at), make, schema, broadcast_terms)
 
 
 def rewrite(text: str | None, spans: list[tuple[str, int, int, float]], remove_at: float) -> str | None:
@@ -244,28 +324,25 @@ def rewrite(text: str | None, spans: list[tuple[str, int, int, float]], remove_a
     return "".join([*out, text[at:]])
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", remove_at: float = 0.8, **options) -> DataFrame:
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", remove_at: float = 0.8, support: int = 2, generalise_at: float = 0.6, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
     """The input with the text column rewritten; all columns and all rows stay. A null text stays null.
 
     A span's placeholder is `<email>`, `<ip>`, `<card>` or `<phone>`; a disclosing term becomes `<number>`, `<name>` or
-    `<term>`, or is removed from `remove_at` on.
+    `<term>`, or is removed from `remove_at` on. Texts are rewritten where they are found, without a shuffle, as long as the
+    disclosing terms are few enough to be broadcast.
     """
-    spans = detect(docs, id_col, text_col, **options).where((F.col("base") != "") | F.col("terms").isNotNull())
-    spans = spans.select("row_key", "base", "terms").dropDuplicates(["row_key"]).select(F.col("row_key").alias("__row_key"), F.struct("base", "terms").alias("__spans"))
-    keyed = common.with_key(docs, id_col, text_col)
-    joined = keyed.join(spans, "__row_key", "left").drop("__row_key")
-
-    @F.pandas_udf("string")
-    def run(text, found):
-        import pandas as pd
-
-        out = []
-        for t, base, terms in zip(text, found["base"], found["terms"]):
-            mine = [(*x, 0.0) for x in _spans(base)] if base else []
-            if terms is not None:
-                mine += [(TERM, int(x["s"]), int(x["e"]), float(x["npmi"])) for x in terms]
-            out.append(rewrite(t, mine, remove_at))
-        return pd.Series(out, dtype=object)
-
-    text = F.when(F.col("__spans").isNull(), F.col(f"`{text_col}`").cast("string")).otherwise(run(F.col(f"`{text_col}`").cast("string"), F.col("__spans")))
-    return joined.withColumn(text_col, text).drop("__spans").select(*(F.col(f"`{c}`") for c in docs.columns))
+    keyed = common.two(docs, id_col, text_col).withColumn("row_key", common.row_key("doc_id", "text"))
+    terms = disclosing(keyed, support, generalise_at)
+    others = [c for c in docs.columns if c != text_col]
+    whole = common.with_key(docs, id_col, text_col)
+    whole = whole.select(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(others)), F.col("__row_key").alias("row_key"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    names = [f"k{i}" for i in range(len(others))]
+
+    def make(batch, texts, spans, terms_of):
+        out = [rewrite(t, [*((*x, 0.0) for x in mine), *((TERM, *x) for x in found_)], remove_at) for t, mine, found_ in zip(texts, spans, terms_of)]
+        return pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(out, pa.string())], names=[*names, "text"])
+
+    schema = whole.select(*names).schema.add("text", "string")
+    out = _scan(whole, terms, make, schema, broadcast_terms)
+    back = dict(zip(others, names)) | {text_col: "text"}
+    return out.select(*(F.col(back[c]).alias(c) for c in docs.columns))

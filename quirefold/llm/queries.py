@@ -80,20 +80,21 @@ QUERIES = {
 }
 
 _LEVELS = """
-bins AS (SELECT lang, source, metric, v, CASE WHEN v < 32 THEN v ELSE (v >> (length(bin(v)) - 5)) + 16 * (length(bin(v)) - 5) END AS bin
-  FROM (SELECT lang, source, unnest(['symbols', 'dup_lines', 'repeats', 'word_length']) AS metric, unnest([m1, m2, m3, m4]) AS v FROM m WHERE n_words > 0)),
-cum AS (SELECT lang, source, metric, bin, CASE WHEN bin < 32 THEN bin ELSE ((bin - 16 * (bin // 16 - 1) + 1) << (bin // 16 - 1)) - 1 END AS top,
+bins AS (SELECT lang, source, metric, v, CASE WHEN v < 128 THEN v ELSE (v >> (length(bin(v)) - 7)) + 64 * (length(bin(v)) - 7) END AS bin
+  FROM (SELECT lang, source, unnest(['symbols', 'dup_lines', 'repeats', 'word_length']) AS metric, unnest([m1, m2, m3, m4]) AS v FROM m WHERE NOT base_failed)),
+cum AS (SELECT lang, source, metric, bin, CASE WHEN bin < 128 THEN bin ELSE ((bin - 64 * (bin // 64 - 1) + 1) << (bin // 64 - 1)) - 1 END AS top,
   count(*) OVER (PARTITION BY lang, source, metric) AS s1, count(*) OVER (PARTITION BY lang, source, metric ORDER BY bin) AS c1,
   count(*) OVER (PARTITION BY lang, metric) AS s2, count(*) OVER (PARTITION BY lang, metric ORDER BY bin) AS c2,
   count(*) OVER (PARTITION BY metric) AS s3, count(*) OVER (PARTITION BY metric ORDER BY bin) AS c3 FROM bins),
-q1 AS (SELECT lang, source, metric, any_value(s1) AS s, min(top) FILTER (c1 * 100 >= s1 * 25) AS lo, min(top) FILTER (c1 * 100 >= s1 * 50) AS mid FROM cum GROUP BY ALL),
-q2 AS (SELECT lang, metric, any_value(s2) AS s, min(top) FILTER (c2 * 100 >= s2 * 25) AS lo, min(top) FILTER (c2 * 100 >= s2 * 50) AS mid FROM cum GROUP BY ALL),
-q3 AS (SELECT metric, min(top) FILTER (c3 * 100 >= s3 * 25) AS lo, min(top) FILTER (c3 * 100 >= s3 * 50) AS mid FROM cum GROUP BY ALL),
-pick AS (SELECT q1.lang, q1.source, q1.metric, CASE WHEN q1.s >= 100 THEN q1.lo WHEN q2.s >= 100 THEN q2.lo ELSE q3.lo END AS lo, CASE WHEN q1.s >= 100 THEN q1.mid WHEN q2.s >= 100 THEN q2.mid ELSE q3.mid END AS mid
-  FROM q1 JOIN q2 ON q1.lang IS NOT DISTINCT FROM q2.lang AND q1.metric = q2.metric JOIN q3 ON q1.metric = q3.metric),
-lim AS (SELECT lang, source,
-  max(greatest(mid + 5 * greatest(mid - lo, 40), 200)) FILTER (metric = 'symbols') AS l1, max(greatest(mid + 5 * greatest(mid - lo, 60), 600)) FILTER (metric = 'dup_lines') AS l2,
-  max(greatest(mid + 5 * greatest(mid - lo, 40), 200)) FILTER (metric = 'repeats') AS l3, max(greatest(mid + 5 * greatest(mid - lo, 100), 1000)) FILTER (metric = 'word_length') AS l4 FROM pick GROUP BY ALL)
+q1 AS (SELECT lang, source, metric, any_value(s1) AS s, min(top) FILTER (c1 * 100 >= s1 * 25) AS lo, min(top) FILTER (c1 * 100 >= s1 * 50) AS mid, min(top) FILTER (c1 * 100 >= s1 * 75) AS hi FROM cum GROUP BY lang, source, metric),
+q2 AS (SELECT lang, metric, any_value(s2) AS s, min(top) FILTER (c2 * 100 >= s2 * 25) AS lo, min(top) FILTER (c2 * 100 >= s2 * 50) AS mid, min(top) FILTER (c2 * 100 >= s2 * 75) AS hi FROM cum GROUP BY lang, metric),
+q3 AS (SELECT metric, any_value(s3) AS s, min(top) FILTER (c3 * 100 >= s3 * 25) AS lo, min(top) FILTER (c3 * 100 >= s3 * 50) AS mid, min(top) FILTER (c3 * 100 >= s3 * 75) AS hi FROM cum GROUP BY metric),
+g AS (SELECT lang, source, unnest(['symbols', 'dup_lines', 'repeats', 'word_length']) AS metric FROM (SELECT DISTINCT lang, source FROM m)),
+pick AS (SELECT g.lang, g.source, g.metric, CASE WHEN q1.s >= 100 THEN q1.lo WHEN q2.s >= 100 THEN q2.lo ELSE q3.lo END AS lo, CASE WHEN q1.s >= 100 THEN q1.mid WHEN q2.s >= 100 THEN q2.mid ELSE q3.mid END AS mid, CASE WHEN q1.s >= 100 THEN q1.hi WHEN q2.s >= 100 THEN q2.hi ELSE q3.hi END AS hi
+  FROM g LEFT JOIN q1 ON g.lang IS NOT DISTINCT FROM q1.lang AND g.source IS NOT DISTINCT FROM q1.source AND g.metric = q1.metric
+  LEFT JOIN q2 ON g.lang IS NOT DISTINCT FROM q2.lang AND g.metric = q2.metric LEFT JOIN q3 ON g.metric = q3.metric),
+lim AS (SELECT lang, source, max(hi + 6 * greatest(hi - mid, mid - lo, 5)) FILTER (metric = 'symbols') AS l1, max(hi + 6 * greatest(hi - mid, mid - lo, 20)) FILTER (metric = 'dup_lines') AS l2, max(hi + 6 * greatest(hi - mid, mid - lo, 25)) FILTER (metric = 'repeats') AS l3,
+  max(hi + 6 * greatest(hi - mid, mid - lo, 10)) FILTER (metric = 'word_length') AS l4, max(lo - 6 * greatest(hi - mid, mid - lo, 10)) FILTER (metric = 'word_length') AS l5 FROM pick GROUP BY lang, source)
 """
 
 ORACLES = {
@@ -107,9 +108,9 @@ cov AS (SELECT doc_id, count(DISTINCT p) AS c FROM (SELECT doc_id, unnest(range(
 line AS (SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT l) AS c FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY 1),
 n AS (SELECT doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
   CAST(coalesce(line.n, 0) AS BIGINT) AS n_lines, CAST(coalesce(line.c, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(cov.c, 0) AS BIGINT) AS n_repeat_words FROM d LEFT JOIN line USING (doc_id) LEFT JOIN cov USING (doc_id)),
-m AS (SELECT *, 1000 * n_symbols // greatest(word_chars, 1) AS m1, 1000 * n_dup_lines // greatest(n_lines, 1) AS m2, 1000 * n_repeat_words // greatest(n_words, 1) AS m3, 100 * word_chars // greatest(n_words, 1) AS m4,
+m AS (SELECT *, 1000 * n_symbols // greatest(word_chars, 1) AS m1, 1000 * greatest(n_dup_lines - 1, 0) // greatest(n_lines, 1) AS m2, 1000 * n_repeat_words // greatest(n_words, 1) AS m3, 100 * word_chars // greatest(n_words, 1) AS m4,
   (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed FROM n),""" + _LEVELS + r"""
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(m1 <= l1 AND m2 <= l2 AND m3 <= l3 AND m4 <= l4, false) AS kept
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(m1 <= l1 AND m2 <= l2 AND m3 <= l3 AND m4 <= l4 AND m4 >= l5, false) AS kept
 FROM m LEFT JOIN lim ON m.lang IS NOT DISTINCT FROM lim.lang AND m.source IS NOT DISTINCT FROM lim.source
 """,
     "op8_substring_dedup": r"""

@@ -19,27 +19,27 @@ from pyspark.sql import functions as F
 
 from quirefold.llm import common
 from quirefold.llm import exchange as ex
-from quirefold.llm.textcore import SPACED, A, B, Spans, Texts, gather, run_cover, spans_of, texts_of
+from quirefold.llm.textcore import SPACED, Runs, Spans, Texts, gather, lanes, run_cover, span_hashes, spans_of, texts_of
 
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
 
 
 class _Words:
-    """Words of one chunk with fingerprints by two polynomials."""
+    """Words of one chunk with fingerprints by two hashes."""
 
     def __init__(self, table: pa.Table):
         self.texts: Texts = texts_of(table.column("text"))
         self.spans: Spans = spans_of(self.texts, SPACED)
         s, data = self.spans, self.texts.data
-        self.a = A.prefix(A.spans(A.of_bytes(data), s.start, s.end))
-        self.b = B.prefix(B.spans(B.of_bytes(data), s.start, s.end))
+        at = lanes(data)
+        self.a, self.b = (Runs(span_hashes(data, s.start, s.end, seed, at), seed) for seed in (0, 1))
         self.room, self.rel = s.room(), np.arange(len(s)) - s.first[s.doc]
 
 
 def _blocks(words: _Words, block: int, buckets: int) -> tuple[ex.Deal, np.ndarray, np.ndarray]:
     """(deal of all rolling windows of block length, starts of the aligned ones, which distinct ones are aligned)."""
     at = np.flatnonzero(words.room >= block)
-    full = A.windows(words.a, block)[at] if len(at) else np.zeros(0, np.uint64)
+    full = words.a.windows(block)[at] if len(at) else np.zeros(0, np.uint64)
     deal = ex.Deal(full & np.uint64(0xFFFFFFFF), full, buckets)
     aligned = words.rel[at] % block == 0
     indexed = np.zeros(len(deal), bool)
@@ -57,7 +57,7 @@ def _windows(words: _Words, answered: pa.Table, block: int, window: int, buckets
     block_hit[at] = np.where(aligned >= 0, hit[aligned], False)
     start = np.flatnonzero(words.room >= window)
     start = start[block_hit[start + (-words.rel[start]) % block]]
-    a, b = (p.windows(x, window)[start] if len(start) else np.zeros(0, np.uint64) for p, x in ((A, words.a), (B, words.b)))
+    a, b = (x.windows(window)[start] if len(start) else np.zeros(0, np.uint64) for x in (words.a, words.b))
     return ex.Deal(a, b, buckets), start
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from quirefold.llm import common
 from quirefold.llm import exchange as ex
-from quirefold.llm.textcore import U64, A, B, mix, texts_of
+from quirefold.llm.textcore import U64, Runs, lanes, mix, texts_of
 
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 RUNS, ANCHORS, WINDOWS = 0, 1, 2
@@ -44,7 +44,7 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 class _Chunk:
     """The rows of a chunk in order (doc_id, then text; a null id is first) with their runs."""
 
-    def __init__(self, table: pa.Table, window: int, anchor: int):
+    def __init__(self, table: pa.Table, window: int, anchor: int, single: bool = True):
         self.table = table = table.select(["doc_id", "text"]).sort_by([("doc_id", "ascending"), ("text", "ascending")]) if table.num_rows else table
         nulls = pc.is_null(table.column("doc_id")).to_numpy(zero_copy_only=False)
         if nulls.any():
@@ -53,16 +53,19 @@ class _Chunk:
         found, self.pieces = [], []
         for row, part in self.texts.pieces(1 << 20):
             base = int(self.texts.offs[row])
-            pa_, pb = A.of_bytes(part.data), B.of_bytes(part.data)
-            self.pieces.append((base, len(part.data), pa_, pb))
-            found.append(self._runs(part, base, pa_, pb))
+            unit = 8 if anchor >= 8 else 1
+            items = lanes(part.data) if unit == 8 else part.data.astype(U64)
+            a, b = Runs(items, 0, unit), Runs(items, 1, unit)
+            found.append(self._runs(part, base, a, b))
+            if single:  # hashes of single windows, 16 bytes for each byte of text; the other levels go with the piece
+                self.pieces.append((base, len(part.data), a.windows(window), b.windows(window)))
         self.lo, self.hi, self.a, self.b, self.gram = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, t) for t in (np.int64, np.int64, U64, U64, U64))
 
-    def _runs(self, part, base: int, a: np.ndarray, b: np.ndarray):
+    def _runs(self, part, base: int, a: Runs, b: Runs):
         n, window, anchor = len(part.data), self.window, self.anchor
         if n < window:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, U64)
-        grams = A.windows(a, anchor)
+        grams = a.windows(anchor)
         bits = U64(int(n).bit_length())
         least = _sliding_min((grams >> bits << bits) | np.arange(len(grams), dtype=U64), window - anchor + 1)
         at = (least & U64((1 << int(bits)) - 1)).astype(np.int64)  # of the anchor of the window that starts here
@@ -79,15 +82,15 @@ class _Chunk:
         last = np.ones(len(at), bool)
         last[:-1] = ~(valid[1:] & same[1:])
         hi = np.flatnonzero(valid & last)
-        return lo + base, hi + base, A.spans(a, lo, hi + window), B.spans(b, lo, hi + window), mix(grams[at[lo]] ^ U64(0x5DEECE66D))
+        return lo + base, hi + base, a.spans(lo, hi + window), b.spans(lo, hi + window), mix(grams[at[lo]] ^ U64(0x5DEECE66D))
 
     def prints(self, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Fingerprints, by both polynomials, of the windows at the given ascending starts."""
+        """Fingerprints, by both hashes, of the windows at the given ascending starts."""
         a, b = np.zeros(len(start), U64), np.zeros(len(start), U64)
-        for base, n, pa_, pb in self.pieces:
+        for base, n, x, y in self.pieces:
             i, j = np.searchsorted(start, [base, base + n])
             s = start[i:j] - base
-            a[i:j], b[i:j] = A.spans(pa_, s, s + self.window), B.spans(pb, s, s + self.window)
+            a[i:j], b[i:j] = x[s], y[s]
         return a, b
 
 
@@ -102,7 +105,7 @@ def _deals(c: _Chunk, buckets: int) -> tuple[ex.Deal, ex.Deal]:
 
 def _ask_runs(window: int, anchor: int, buckets: int):
     def run(table: pa.Table) -> pa.Table:
-        runs, grams = _deals(_Chunk(table, window, anchor), buckets)
+        runs, grams = _deals(_Chunk(table, window, anchor, single=False), buckets)
         chunk = table.column("chunk")[0].as_py()
         return pa.concat_tables([runs.rows(RUNS, chunk, np.uint64), grams.rows(ANCHORS, chunk, np.uint32)])
 

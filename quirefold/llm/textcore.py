@@ -1,8 +1,8 @@
-"""Array views of text batches: UTF-8 bytes, word spans and rolling polynomial fingerprints.
+"""Array views of text batches: UTF-8 bytes, word spans and hashes of spans and windows.
 
-Every function works on one Arrow batch inside a task; Spark decides what is in the batch. A polynomial
-fingerprint of a span is taken modulo 2**64 from prefix sums, so all windows of a batch cost a few array
-passes. Two independent polynomials give 128 bits.
+Every function works on one Arrow batch inside a task; Spark decides what is in the batch. Hashes of windows are built by
+doubling, each step a product and a shift of the two halves, so that all windows of a batch cost a few array passes. Two
+seeds give independent hashes.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U64 = np.uint64
 
@@ -121,43 +122,103 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(29))
 
 
-class Poly:
-    """Fingerprints of spans of a sequence, from prefix sums of value * base**position modulo 2**64."""
-
-    def __init__(self, seed: int):
-        values = _splitmix(seed, 257)
-        self.table = values[:256]
-        self.base = int(values[256]) | 5
-        self.back = pow(self.base, -1, 2**64)
-        self._pw, self._inv = np.ones(1, U64), np.ones(1, U64)
-
-    def _grow(self, n: int) -> None:
-        if len(self._pw) < n:
-            n = max(n, 1 << 16)
-            for name, base in (("_pw", self.base), ("_inv", self.back)):
-                seq = np.full(n, base, U64)
-                seq[0] = 1
-                setattr(self, name, np.multiply.accumulate(seq))
-
-    def prefix(self, values: np.ndarray) -> np.ndarray:
-        self._grow(len(values) + 1)
-        out = np.zeros(len(values) + 1, U64)
-        np.cumsum(values * self._pw[: len(values)], out=out[1:])
-        return out
+def lanes(data: np.ndarray) -> np.ndarray:
+    """For each byte the 8 bytes from it on, as a little-endian integer; zeros follow the last byte."""
+    n = len(data)
+    padded = np.zeros(n + 16, np.uint8)
+    padded[:n] = data
+    out = np.empty(n, U64)
+    for k in range(min(8, n)):
+        size = len(range(k, n, 8))
+        out[k::8] = padded[k : k + 8 * size].view(U64)
+    return out
+
+
+def join(x: np.ndarray, y: np.ndarray, seed: int) -> np.ndarray:
+    """A hash of each pair (x, y): products and shifts in turn, so that no sum of terms decides it."""
+    a, b, c = _CONSTANTS[seed]
+    out = x * a
+    out ^= out >> U64(29)
+    other = y * b
+    other ^= other >> U64(31)
+    out += other
+    out *= c
+    out ^= out >> U64(32)
+    return out
+
 
-    def of_bytes(self, data: np.ndarray) -> np.ndarray:
-        return self.prefix(self.table[data])
+_CONSTANTS = [tuple(x | U64(1) for x in _splitmix(seed, 3)) for seed in range(4)]
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+LONG_SPAN = 64  # bytes beyond which a span is hashed by itself
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0, at: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span. `at` are the lanes of data, where the caller has them."""
+    size = end - start
+    out = mix(size.astype(U64) + _CONSTANTS[seed][0])
+    at = lanes(data) if at is None else at
+    live = np.flatnonzero((size > 0) & (size <= LONG_SPAN))
+    done = 0
+    while len(live):
+        rest = size[live] - done
+        out[live] = join(out[live], at[start[live] + done] & _MASK[np.minimum(rest, 8)], seed)
+        done += 8
+        live = live[rest > 8]
+    for i in np.flatnonzero(size > LONG_SPAN):
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes(), seed)
+    return out
 
-    def spans(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((prefix[end] - prefix[start]) * self._inv[start])
 
-    def windows(self, prefix: np.ndarray, width: int) -> np.ndarray:
-        """Fingerprints of all windows of `width`, whether or not they cross rows."""
-        n = len(prefix) - width
-        return mix((prefix[width:] - prefix[:n]) * self._inv[:n]) if n > 0 else np.zeros(0, U64)
+class Runs:
+    """Hashes of runs of a sequence, by doubling: level k has the hash of each run of 2**k items.
+
+    A run of another length is the pair of the two runs of the next smaller power of two that cover it. Items are 64-bit
+    values; `unit` says how many places an item covers, as lanes cover 8 bytes each.
+    """
+
+    def __init__(self, items: np.ndarray, seed: int, unit: int = 1):
+        self.seed, self.unit, self.levels = seed, unit, [mix(items ^ _CONSTANTS[seed][2])]
+
+    def _level(self, k: int) -> np.ndarray:
+        while len(self.levels) <= k:
+            last, step = self.levels[-1], self.unit << (len(self.levels) - 1)
+            self.levels.append(join(last[:-step], last[step:], self.seed) if len(last) > step else last[:0])
+        return self.levels[k]
+
+    def _power(self, width: int) -> int:
+        return (width // self.unit).bit_length() - 1
+
+    def windows(self, width: int) -> np.ndarray:
+        """All runs of `width` places, whether or not they cross rows. The last unit - 1 places hold zeros beyond the sequence."""
+        k = self._power(width)
+        level, rest = self._level(k), width - (self.unit << k)
+        n = len(self.levels[0]) - width + 1
+        return join(level[: max(n, 0)], level[rest : rest + max(n, 0)], self.seed) if n > 0 else level[:0]
+
+    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The runs [start, end), each of `unit` places or more."""
+        size = end - start
+        out = np.zeros(len(start), U64)
+        powers = np.frexp((size // self.unit).astype(np.float64))[1] - 1
+        for k in np.unique(powers):
+            mine = np.flatnonzero(powers == k)
+            level = self._level(int(k))
+            out[mine] = join(join(level[start[mine]], level[end[mine] - (self.unit << int(k))], self.seed), size[mine].astype(U64), self.seed)
+        return out
 
 
-A, B = Poly(1), Poly(2)
+def equal_classes(data: np.ndarray, start: np.ndarray, end: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """A number for each span, equal if and only if the bytes are equal. Hashes (`keys`) say which to compare; if different
+    spans ever share one, all are told apart by their bytes."""
+    _, first, which = np.unique(keys, return_index=True, return_inverse=True)
+    twin = first[which]
+    other = np.flatnonzero(twin != np.arange(len(keys)))
+    a, b = other, twin[other]
+    same = (end[a] - start[a]) == (end[b] - start[b])
+    if same.all() and np.array_equal(gather(data, start[a], end[a]), gather(data, start[b], end[b])):
+        return which
+    known: dict[bytes, int] = {}
+    return np.array([known.setdefault(data[s:e].tobytes(), len(known)) for s, e in zip(start, end)], np.int64)
 
 
 def run_cover(n: int, start: np.ndarray, width: int | np.ndarray) -> np.ndarray:

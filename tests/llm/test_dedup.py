@@ -63,6 +63,19 @@ def test_suffix(docs, window, anchor):
     assert ordered((*r[:5], bytes(r[5])) for r in got) == ordered(brute_suffix(documents(), window))
 
 
+def test_hostile_texts_are_told_apart(spark):
+    """Two words of 2048 letters that a polynomial modulo a power of two can't tell apart."""
+    a, b = ("".join(x[i.bit_count() % 2] for i in range(2048)) for x in ("ab", "ba"))
+    tail = [f"w{i}" for i in range(34)]
+    rows = [(1, " ".join([a, *tail])), (2, " ".join([b, *tail])), (3, a), (4, b), (5, a + "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert ordered(substring.remove_repeats(docs).collect()) == ordered(brute_substring(rows, 35))
+    assert not any(r.n_removed for r in substring.remove_repeats(docs).collect())
+    for window in (100, 2048):
+        got = suffix.remove_earlier_repeats(docs, window=window).collect()
+        assert ordered((*r[:5], bytes(r[5])) for r in got) == ordered(brute_suffix(rows, window))
+
+
 def test_suffix_empty(none):
     assert suffix.remove_earlier_repeats(none).collect() == []
 
