@@ -34,17 +34,23 @@ from quirefold.llm.textcore import U64, equal_classes, gather, join, mix, span_h
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = 0x2581
 LONG = 48  # code points beyond which a segment is done by itself
+GRID = 2.0**20  # scores are multiples of 1 / GRID, so that sums are exact and equal paths have equal scores in any order
 MANDELBROT = 2.7  # shift of ranks in p(rank) ~ 1 / (rank + shift)
 
 
+NO_RANK = -1e8  # scores below stand for pieces that come after all ranks
+
+
 def rank_scores(scores: np.ndarray, usable: np.ndarray) -> np.ndarray:
-    """Scores as log-probabilities. Those of a BPE file are 0, -1, -2, ..., each once; any others are taken as they are."""
-    rank = -scores[usable]
-    if len(rank) < 2 or not np.array_equal(np.sort(rank), np.arange(len(rank))):
+    """Scores as log-probabilities. A BPE file has whole numbers from 0 down, no two alike; any others are taken as they are."""
+    ranked = usable & (scores > NO_RANK)
+    rank = -scores
+    if ranked.sum() < 2 or (rank[ranked] != np.floor(rank[ranked])).any() or (rank[ranked] < 0).any() or len(np.unique(rank[ranked])) < ranked.sum():
         return scores
-    out = np.full(len(scores), np.log(1 / (len(rank) - 1 + MANDELBROT)))
-    out[usable] = -np.log(rank + MANDELBROT)
-    return out - np.log(np.exp(out[usable]).sum())
+    rank[usable & ~ranked] = rank[ranked].max() + 1
+    out = scores.copy()
+    out[usable] = -np.log(rank[usable] + MANDELBROT) - np.log((1 / (rank[usable] + MANDELBROT)).sum())
+    return out
 
 
 def _codes_hash(codes: np.ndarray) -> np.ndarray:
@@ -69,7 +75,8 @@ class Model:
         texts = [sp.id_to_piece(i) for i in range(n)]
         byte_ids = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         usable = np.array([not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i)) for i in range(n)])
-        model = cls(texts, rank_scores(np.array([sp.get_score(i) for i in range(n)]), usable), usable, byte_ids)
+        scores = rank_scores(np.array([sp.get_score(i) for i in range(n)]), usable)
+        model = cls(texts, np.round(scores * GRID) / GRID, usable, byte_ids)
         if any(chr(MARK) in t.lstrip(chr(MARK)) for t, u in zip(texts, usable) if u) or not all(map(sp.is_byte, byte_ids)):
             raise ValueError("pieces must hold word marks in front only, and there must be a piece for each byte")
         return model

@@ -18,7 +18,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pieces.encode(table(spark, sf_dir, "documents"), pieces.Model.load(pieces.MODEL_FILE), n=4)
-    return out.select("doc_id", "n_pieces", F.get("nbest_scores", F.lit(0)).alias("best_score"), F.array_join(F.transform("nbest_scores", lambda x: x.cast("decimal(30,1)").cast("string")), ",").alias("nbest_scores"), "ids_sha256", F.array_join("nbest_sha256", ",").alias("nbest_sha256"), "round_trip")
+    return out.select("doc_id", "n_pieces", F.get("nbest_scores", F.lit(0)).alias("best_score"), F.array_join(F.transform("nbest_scores", lambda x: x.cast("decimal(30,4)").cast("string")), ",").alias("nbest_scores"), "ids_sha256", F.array_join("nbest_sha256", ",").alias("nbest_sha256"), "round_trip")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

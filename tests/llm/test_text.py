@@ -333,6 +333,35 @@ def test_pieces(model, n):
         assert lattice.decode(ids) == t.replace(chr(pieces.MARK), " ")
 
 
+def test_pieces_equal_the_library(model, tmp_path):
+    """The library, given the same scores as a unigram model file, finds the same best segmentation and the same n best."""
+    sentencepiece = pytest.importorskip("sentencepiece")
+    pb = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
+    proto = pb.ModelProto()
+    with open(pieces.MODEL_FILE, "rb") as f:
+        proto.ParseFromString(f.read())
+    proto.trainer_spec.model_type = 1
+    for piece, score in zip(proto.pieces, model.scores):
+        if piece.type == 1:
+            piece.score = score
+    (tmp_path / "unigram.model").write_bytes(proto.SerializeToString())
+    sp = sentencepiece.SentencePieceProcessor(model_file=str(tmp_path / "unigram.model"))
+    again = pieces.Model.load(str(tmp_path / "unigram.model"))
+    assert again.scores == pytest.approx(model.scores, rel=1e-5)  # a unigram file's scores are taken as they are
+    lattice, r = again.prepare(), random.Random(4)
+    texts = ["The quick brown fox jumps over the lazy dog.", "Einfach schöne Wörter, naïve café 日本 😀", "  two  spaces\n\ttab"] + [passage(800 + i, 40) for i in range(30)]
+    texts += ["".join(r.choice("the an on\nqé日 ") for _ in range(r.randint(1, 30))) for _ in range(150)]
+    score = lambda ids: sum(again.scores[i] for i in ids if not sp.is_byte(i))
+    same = 0
+    for t, (ids, _) in zip(texts, lattice.encode(texts, 1)):
+        same += ids.tolist() == sp.encode(t)
+        assert score(ids) == pytest.approx(score(sp.encode(t)), rel=1e-5), t
+    assert same >= 0.98 * len(texts)
+    words = ["another", "information", "international", "thetheon"]
+    for t, found in zip(words, lattice.nbest(words, 5)):
+        assert [s for s, _ in found] == pytest.approx([score(i) for i in sp.nbest_encode_as_ids(t, 5)], rel=1e-4)
+
+
 def test_piece_search(model):
     lattice = model.prepare()
     found = lattice.search("▁another", 6)
