@@ -4,17 +4,17 @@ margins are marked as rejected."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-LETTER = re.compile(r"[^\W\d_]")
-OTHER = re.compile(r"[\W\d_]+")
+LETTER = regex.compile(r"\p{L}")
+OTHER = regex.compile(r"[^\p{L}\p{M}]+")
 UNDETERMINED = "und"
 
 
@@ -23,21 +23,24 @@ def letters(text: str) -> bytes:
     return OTHER.sub(" ", text.lower()).encode()
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 128, bytes_per_doc: int = 2048, max_langs: int = 1000) -> dict[str, bytes]:
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 128, bytes_per_doc: int = 2048, max_bytes: int = 64 << 20) -> dict[str, bytes]:
     """A dictionary for each language from a bounded sample of labelled rows.
 
     The sample holds at most `docs_per_lang` texts of a language, those with the least hashes (equal texts once), and of each
     at most the `bytes_per_doc` bytes from its middle: 256 KB a language. Rows with a null or empty text or language are left out.
-    More than `max_langs` languages are an error, which bounds what is broadcast. The commonest language comes first.
+    What is collected and broadcast is at most `max_bytes`: where there are so many languages that the sample would exceed it, that is
+    an error. The commonest language comes first, of equally common ones the least in order.
     """
     rows = labelled.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text")).where("lang IS NOT NULL AND text <> ''")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(max_langs + 1).collect()}
-    if len(counts) > max_langs:
-        raise ValueError(f"more than {max_langs} languages")
+    rows = rows.withColumn("hash", F.xxhash64("text", F.lit(77)))
+    most = max_bytes // (docs_per_lang * bytes_per_doc)
+    counts = {r["lang"]: (r["n"], r["d"]) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("hash").alias("d")).limit(most + 1).collect()}
+    if len(counts) > most:
+        raise ValueError(f"the sample of more than {most} languages would exceed {max_bytes} bytes")
     if not counts:
         return {}
-    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 8.0 * docs_per_lang / n))))
-    rows = rows.withColumn("hash", F.xxhash64("text", F.lit(77)))
+    # thinned by the hash before texts are compared: by the distinct texts, as copies share their hash
+    share = F.create_map(*(F.lit(x) for lang, (_, d) in counts.items() for x in (lang, min(1.0, 8.0 * docs_per_lang / max(d, 1)))))
     rows = rows.where(F.pmod("hash", F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
     start = F.greatest((F.length("text") / 2).cast("int") - bytes_per_doc // 2, F.lit(1))
     rows = rows.select("lang", "hash", F.substr("text", start, F.lit(bytes_per_doc)).alias("text")).distinct()
@@ -46,7 +49,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", d
     out: dict[str, list[bytes]] = {}
     for r in sorted(sample, key=lambda r: (r["lang"], r["k"])):
         out.setdefault(r["lang"], []).append(letters(r["text"])[:bytes_per_doc])
-    return {lang: b" ".join(out[lang]) for lang in sorted(out, key=lambda k: (-counts[k], k))}
+    return {lang: b" ".join(out[lang]) for lang in sorted(out, key=lambda k: (-counts[k][0], k))}
 
 
 class Classifier:

@@ -2,11 +2,14 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import time
+import unicodedata
 from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 from edge import documents, ordered, passage
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -268,6 +271,23 @@ def test_licenses(spark, docs, none):
     assert licenses.scan(docs).count() == len(documents()) and licenses.scan(none).collect() == []
 
 
+@pytest.mark.parametrize("width", [12, 30, 40, 48, 72, 1000])
+def test_licenses_wrapped_anyhow(spark, width):
+    """A sentence is found however its lines are broken, in comments, lists or inside a longer sentence; of rules that differ only in one sentence the right one holds."""
+    wrap = lambda words: "\n * ".join(textwrap.wrap(words, width, break_long_words=False))
+    S = licenses.SENTENCES
+    full = lambda *ids: wrap(". ".join(S[i].capitalize() for i in ids))
+    rows = [
+        (1, full("mit-grant", "mit-notice", "as-is-software"), "MIT"), (2, full("bsd-grant", "bsd-source", "bsd-binary", "bsd-disclaimer"), "BSD-2-Clause"), (3, full("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-disclaimer"), "BSD-3-Clause"),
+        (4, wrap("This file is released under the MIT License."), "MIT"), (5, full("gpl2-free", "gpl-warranty"), "GPL-2.0-or-later"), (6, full("gpl-free", "gpl-warranty", "gpl-copy"), "GPL-3.0-or-later"), (7, full("lgpl21-free", "lgpl-warranty"), "LGPL-2.1-or-later"),
+        (8, full("agpl3-free", "gpl-warranty"), "AGPL-3.0-or-later"), (9, full("unlicense-domain", "unlicense-anyone"), "Unlicense"), (10, full("bsl-grant"), "BSL-1.0"), (11, wrap("// SPDX-License-Identifier: LGPL-3.0-or-later"), "LGPL-3.0-or-later"), (12, wrap("The mitigation is licensed under conditions."), ""),
+        (13, wrap("It is licensed under the GPL v2 license, parts are available under the Boost Software License, Version 1.0"), "BSL-1.0,GPL-2.0-only"), (14, "Permission is hereby granted, free of", ""),
+    ]
+    got = {r.doc_id: r.licenses for r in licenses.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    assert got == {i: lic for i, _, lic in rows}
+    assert all(s == licenses.normal(s) for s in S.values()) and len(set(S.values())) == len(S)
+
+
 def test_chat(spark):
     rows = [
         (1, True, 0, "user", "hi"), (1, True, 1, "assistant", "good"), (1, False, 0, "user", "hi"), (1, False, 1, "assistant", "bad"), (1, False, 2, "user", "why"),
@@ -290,11 +310,34 @@ def test_language_edge(spark, docs, none):
     assert set(learned) == {"en", "de"}
     got = language.classify(docs, learned).collect()
     assert len(got) == len(documents()) and all(0 <= r.score <= 1 and r.lang_pred in ("en", "de", "und") for r in got)
-    want = sum(not re.search(r"[^\W\d_]", d[1] or "") for d in documents())
+    want = sum(not any(unicodedata.category(c).startswith("L") for c in d[1] or "") for d in documents())
     assert sum(r.lang_pred == "und" for r in got) == want
     assert language.train(none) == {} and language.classify(none, learned).collect() == [] and {r.lang_pred for r in language.classify(docs, {}).collect()} == {"und"}
     with pytest.raises(ValueError):
-        language.train(docs, max_langs=1)
+        language.train(docs, max_bytes=300_000)
+
+
+def test_language_against_brute_force(spark):
+    """Texts are what compresses best after a language's own text; ties go to the commoner language, numerals aren't letters."""
+    r = random.Random(8)
+    words = {k: ["".join(r.choice(a) for _ in range(5)) for _ in range(40)] for k, a in (("aa", "abcde"), ("bb", "vwxyzß"), ("cc", "лмнопр"))}
+    text = lambda k, n: " ".join(r.choice(words[k]) for _ in range(n))
+    rows = [(i, text(k, 60), k) for i, k in enumerate(["aa"] * 30 + ["bb"] * 20 + ["cc"] * 10)]
+    learned = language.train(spark.createDataFrame(rows + rows[:1] * 5000, "doc_id long, text string, lang string"))
+    assert list(learned) == ["aa", "bb", "cc"]
+    odd = ["½", "²", "Ⅷ", "123 !", "", None, " ", "_", "ʰ", "日"]
+    asked = [(i, text(k, 3 + i), k) for i, k in enumerate(["aa", "bb", "cc"] * 10)] + [(100 + i, t, None) for i, t in enumerate(odd)] + [(200, "qqqq jjjj", None), (200, "qqqq jjjj", None)]
+    got = language.classify(spark.createDataFrame(asked, "doc_id long, text string, lang string"), learned).collect()
+    packers = [(k, zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)) for k, d in learned.items()]
+    for (_, t, _), g in zip(sorted(asked, key=lambda x: x[0]), sorted(got, key=lambda x: x.doc_id)):
+        if not any(unicodedata.category(c).startswith("L") for c in t or ""):
+            assert (g.lang_pred, g.score, g.rejected) == ("und", 0.0, True)
+            continue
+        plain = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in t.lower())
+        sizes = [len(p.compress(re.sub(" +", " ", plain).encode())) for _, p in packers]
+        best = min(sizes)
+        assert g.lang_pred == packers[sizes.index(best)][0] and g.rejected == ((sorted(sizes)[1] - best) / sorted(sizes)[1] < 0.01)
+    assert [x.lang_pred for x in got if x.doc_id < 30] == [k for i, _, k in sorted(asked) if i < 30] or sum(x.lang_pred == dict((i, k) for i, _, k in asked)[x.doc_id] for x in got if x.doc_id < 30) >= 29
 
 
 def test_language_held_out(spark):
