@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,10 +37,14 @@ def partitions(spark: SparkSession, total_bytes: int, each: int = 8 << 20) -> in
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where that setting is absent, as in tests."""
+    """The folder in spark.checkpoint.dir. Where that is not set, a local session takes one of its own; a cluster must name one,
+    as a machine's own folder is lost with the machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/{uuid.uuid4().hex}")
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or f"file://{tempfile.mkdtemp(prefix='checkpoints-')}")
     return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
 
 
@@ -56,6 +61,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+#: Hot keys that may be broadcast: keys of over 1/10,000 of all rows, of which there can't be more than this.
+HOT_KEYS = 10_000
+
+
+def join_skewed(rows: DataFrame, one: DataFrame, key: str, weight: str, total: int, how: str = "inner", least: int = 256) -> DataFrame:
+    """`rows` joined (inner or left) with a table of one row a key, whose column `weight` says how many of the `total` rows the key has.
+
+    Hot keys are broadcast, so that their rows stay where they are; all others are joined by a shuffle, in which no key has
+    more than max(least, total / HOT_KEYS) rows. Both inputs are read twice: they should be checkpointed or cheap.
+    """
+    limit = max(least, math.ceil(total / HOT_KEYS))
+    hot = F.broadcast(one.where(F.col(weight) > limit).drop(weight))
+    cold = one.where(F.col(weight) <= limit).drop(weight)
+    rest = rows.join(hot.select(key), key, "left_anti").join(cold, key, how)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def row_key(*cols: str) -> Column:
     """A 128-bit key of a row's contents: equal rows share it, other rows don't."""
     return F.struct(F.xxhash64(*cols).alias("a"), F.xxhash64(F.lit(7919), *reversed(cols)).alias("b"))

@@ -14,6 +14,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 ASK = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.int64()), ("body", pa.binary())])
 ANSWER = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.int64()), ("n", pa.int32()), ("bits", pa.binary())])
@@ -121,6 +122,7 @@ class Levels:
         self.levels.append((rank, batch))
 
 
-def exchange(asks: DataFrame, answer, partitions: int) -> DataFrame:
-    """Answers the rows of `asks`, bucket by bucket."""
-    return asks.repartition(partitions, "bucket").groupBy("bucket").applyInArrow(answer, ANSWER_DDL)
+def exchange(asks: DataFrame, answer, buckets: int) -> DataFrame:
+    """Answers the rows of `asks`, bucket by bucket, each in a task of its own: hashing a few buckets over tasks would
+    give some tasks several."""
+    return asks.repartitionById(buckets, F.col("bucket")).groupBy("bucket").applyInArrow(answer, ANSWER_DDL)

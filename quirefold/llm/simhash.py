@@ -173,8 +173,8 @@ def links(prints: DataFrame, n: int, radius: int = 4, unit: int = 4096) -> DataF
             value = F.shiftleft(value, width).bitwiseOR(p)
         shards.append(F.struct(F.lit(i).alias("choice"), value.alias("value")))
     dealt = prints.select("fp", F.explode(F.array(*shards)).alias("s")).select("fp", F.xxhash64("s.choice", "s.value").alias("shard"))
-    large = dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > unit).select("shard", F.ceil(F.col("n") / unit).cast("int").alias("parts"))
-    dealt = dealt.join(large, "shard", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    large = dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > unit).select("shard", F.ceil(F.col("n") / unit).cast("int").alias("parts"), "n")
+    dealt = common.join_skewed(dealt, large, "shard", "n", n * comb(len(blocks), k), "left", unit).withColumn("parts", F.coalesce("parts", F.lit(1)))
     dealt = dealt.withColumn("part", F.pmod(F.hash("fp"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("shard", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "fp", (F.col("part") <= F.col("other")).alias("tree"))
     rows = n * comb(len(blocks), k)
@@ -191,15 +191,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     is carried through and never is a component_id unless its component has no other. Other columns are ignored.
     """
     prints = common.checkpoint(fingerprints(common.two(docs, id_col, text_col), shingle))
-    rooted = _rooted(prints, radius)
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rooted = common.checkpoint(_rooted(prints, radius))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    total = prints.count()
+    named = common.join_skewed(rooted.drop("least"), least, "root", "n", total).select("fp", "copies", "component_id")
+    return common.join_skewed(prints, common.checkpoint(named), "fp", "copies", total).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def _rooted(prints: DataFrame, radius: int) -> DataFrame:
-    """(fp, least doc_id, root) for each distinct fingerprint."""
-    distinct = common.checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    """(fp, least doc_id, number of copies, root) for each distinct fingerprint."""
+    distinct = common.checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")))
     roots = components(links(distinct.select("fp"), distinct.count(), radius)).withColumnRenamed("node", "fp")
     return distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 

@@ -107,20 +107,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Words are `[^\\x20\\x09-\\x0D]+`. A null or empty text has no words and keeps the empty string; a text of fewer
     than `window` words keeps all. Equal rows count as separate documents, so they remove each other's windows.
     A null id is carried through. Other columns are ignored, whatever their names. Memory of a task is
-    bounded by a chunk, or by the longest text where that is larger.
+    bounded by a chunk, or by the longest text where that is larger; equal rows of one input partition share a chunk.
     """
     block = block or (window + 1) // 2
     if window < 2 * block - 1:
         raise ValueError("a window must hold an aligned block: window >= 2 * block - 1")
     docs = common.two(docs, id_col, text_col)
-    spark = docs.sparkSession
     _, size = common.volume(docs)
     n = common.chunk_count(size, chunk_bytes)
     buckets = max(1, math.ceil(size / (8 << 20)))
-    chunks = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n))).repartition(n, "chunk")
-    parts = max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    first = ex.exchange(chunks.groupBy("chunk").applyInArrow(_ask_blocks(block, buckets), ex.ASK_DDL), ex.probe_blocks, parts)
-    second = ex.exchange(chunks.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(_ask_windows(block, window, buckets), ex.ASK_DDL), ex.shared, parts)
+    chunks = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(n))).repartition(n, "chunk")
+    first = ex.exchange(chunks.groupBy("chunk").applyInArrow(_ask_blocks(block, buckets), ex.ASK_DDL), ex.probe_blocks, buckets)
+    second = ex.exchange(chunks.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(_ask_windows(block, window, buckets), ex.ASK_DDL), ex.shared, buckets)
     both = first.unionByName(second)
     out = chunks.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(_finish(block, window, buckets, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     return out if with_text else out.drop("kept_text")

@@ -194,7 +194,6 @@ def remove_earlier_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: st
     if not 1 <= anchor <= window:
         raise ValueError("1 <= anchor <= window")
     docs = common.two(docs, id_col, text_col)
-    spark = docs.sparkSession
     _, size = common.volume(docs)
     n = common.chunk_count(size, chunk_bytes)
     buckets = max(1, math.ceil(size / (16 << 20)))
@@ -203,9 +202,8 @@ def remove_earlier_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: st
     splits = [-math.inf, *sorted({float(q) for q in cuts or []}), math.inf]
     chunks = Bucketizer(splits=splits, inputCol="at", outputCol="chunk").transform(docs.withColumn("at", key)) if len(splits) > 2 else docs.withColumn("chunk", F.lit(0))
     chunks = chunks.select("doc_id", "text", F.col("chunk").cast("long").alias("chunk")).repartition(n, "chunk")
-    parts = max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    first = ex.exchange(chunks.groupBy("chunk").applyInArrow(_ask_runs(window, anchor, buckets), ex.ASK_DDL), scan, parts)
-    second = ex.exchange(chunks.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(_ask_windows(window, anchor, buckets), ex.ASK_DDL), scan, parts)
+    first = ex.exchange(chunks.groupBy("chunk").applyInArrow(_ask_runs(window, anchor, buckets), ex.ASK_DDL), scan, buckets)
+    second = ex.exchange(chunks.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(_ask_windows(window, anchor, buckets), ex.ASK_DDL), scan, buckets)
     both = first.unionByName(second)
     out = chunks.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(_finish(window, anchor, buckets, with_kept), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out if with_kept else out.drop("kept")
