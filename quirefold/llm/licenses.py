@@ -137,7 +137,7 @@ def _add_notices() -> None:
 
 _add_notices()
 #: Every known sentence has one of these.
-CUES = r"(?i)licen[sc]e|permission|warrant|redistribution|free\W+software|copyright|rights\W+reserved|cc\W+by|permitted|under\W+(the\W+)?[a-z0-9]+|public\W+domain|mpl|anyone"
+CUES = r"(?i)licen[sc]e|permission|warrant|redistribution|free\W+software|copyright|rights\W+reserved|permitted|(licensed|released|distributed|available)\W+under|public\W+domain|mpl\W|anyone"
 
 
 def stream(text: Column) -> Column:
@@ -150,8 +150,27 @@ def _bracketed(sentence: str) -> str:
 
 
 def _pattern(sentences: dict[str, str]) -> str:
-    """Matches any sentence in a stream of words, of two that begin alike the longer one."""
-    return f"({'|'.join(sorted(map(_bracketed, sentences.values()), key=lambda s: (-len(s), s)))})"
+    """Matches any sentence in a stream of words, of two that begin alike the longer one. Common beginnings are tried once."""
+    tree: dict = {}
+    for sentence in sentences.values():
+        at = tree
+        for word in sentence.split(" "):
+            at = at.setdefault(word, {})
+        at[""] = {}
+
+    def branch(node: dict) -> str:
+        ways = [f"{word}>{f'<{rest}' if (rest := branch(more)) and not rest.startswith('(?:<') else rest}" for word, more in sorted(node.items()) if word]
+        if not ways:
+            return ""
+        if "" in node:
+            return f"(?:<{_any(ways)})?"
+        return _any(ways)
+
+    return f"(<{branch(tree)})"
+
+
+def _any(ways: list[str]) -> str:
+    return ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})"
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] | None = None, rules: dict[str, tuple[str, list[str]]] | None = None) -> DataFrame:

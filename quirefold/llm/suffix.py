@@ -54,18 +54,19 @@ class _Chunk:
         for row, part in self.texts.pieces(1 << 20):
             base = int(self.texts.offs[row])
             unit = 8 if anchor >= 8 else 1
-            items = lanes(part.data) if unit == 8 else part.data.astype(U64)
-            a, b = Runs(items, 0, unit), Runs(items, 1, unit)
-            found.append(self._runs(part, base, a, b))
-            if single:  # hashes of single windows, 16 bytes for each byte of text; the other levels go with the piece
-                self.pieces.append((base, len(part.data), a.windows(window), b.windows(window)))
+            self.block = unit << min(2, (anchor // unit).bit_length() - 1)
+            runs = Runs(lanes(part.data) if unit == 8 else part.data.astype(U64), 0, unit)
+            found.append(self._runs(part, base, runs))
+            if single:  # of the piece only the hashes of blocks stay, 8 bytes for each byte of text
+                runs.levels = [x if i == runs._power(self.block) else None for i, x in enumerate(runs.levels)]
+                self.pieces.append((base, len(part.data), runs))
         self.lo, self.hi, self.a, self.b, self.gram = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, t) for t in (np.int64, np.int64, U64, U64, U64))
 
-    def _runs(self, part, base: int, a: Runs, b: Runs):
+    def _runs(self, part, base: int, runs: Runs):
         n, window, anchor = len(part.data), self.window, self.anchor
         if n < window:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, U64)
-        grams = a.windows(anchor)
+        grams = runs.windows(anchor)
         bits = U64(int(n).bit_length())
         least = _sliding_min((grams >> bits << bits) | np.arange(len(grams), dtype=U64), window - anchor + 1)
         at = (least & U64((1 << int(bits)) - 1)).astype(np.int64)  # of the anchor of the window that starts here
@@ -82,15 +83,15 @@ class _Chunk:
         last = np.ones(len(at), bool)
         last[:-1] = ~(valid[1:] & same[1:])
         hi = np.flatnonzero(valid & last)
-        return lo + base, hi + base, a.spans(lo, hi + window), b.spans(lo, hi + window), mix(grams[at[lo]] ^ U64(0x5DEECE66D))
+        return lo + base, hi + base, *(runs.spans(lo, hi + window, self.block, seed) for seed in (0, 1)), mix(grams[at[lo]] ^ U64(0x5DEECE66D))
 
     def prints(self, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Fingerprints, by both hashes, of the windows at the given ascending starts."""
         a, b = np.zeros(len(start), U64), np.zeros(len(start), U64)
-        for base, n, x, y in self.pieces:
+        for base, n, runs in self.pieces:
             i, j = np.searchsorted(start, [base, base + n])
             s = start[i:j] - base
-            a[i:j], b[i:j] = x[s], y[s]
+            a[i:j], b[i:j] = (runs.spans(s, s + self.window, self.block, seed) for seed in (0, 1))
         return a, b
 
 

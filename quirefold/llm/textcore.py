@@ -195,15 +195,19 @@ class Runs:
         n = len(self.levels[0]) - width + 1
         return join(level[: max(n, 0)], level[rest : rest + max(n, 0)], self.seed) if n > 0 else level[:0]
 
-    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """The runs [start, end), each of `unit` places or more."""
-        size = end - start
-        out = np.zeros(len(start), U64)
-        powers = np.frexp((size // self.unit).astype(np.float64))[1] - 1
-        for k in np.unique(powers):
-            mine = np.flatnonzero(powers == k)
-            level = self._level(int(k))
-            out[mine] = join(join(level[start[mine]], level[end[mine] - (self.unit << int(k))], self.seed), size[mine].astype(U64), self.seed)
+    def spans(self, start: np.ndarray, end: np.ndarray, block: int, seed: int) -> np.ndarray:
+        """The runs [start, end), each of `block` places or more, by the blocks that cover them. Block is a power of two of units.
+
+        Results of two seeds share the hashes of blocks. Two runs that differ in several blocks must collide in all of them to be
+        taken for equal.
+        """
+        level = self._level(self._power(block))
+        out = mix((end - start).astype(U64) + _CONSTANTS[seed][0])
+        at, live = start.copy(), np.arange(len(start))
+        while len(live):
+            out[live] = join(out[live], level[np.minimum(at[live], end[live] - block)], seed)
+            at[live] += block
+            live = live[at[live] < end[live]]
         return out
 
 
