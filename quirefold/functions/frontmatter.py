@@ -120,7 +120,55 @@ def to_json(value: Any) -> str:
     return re.sub(r'"(?:[^"\\]|\\.)*"|-?Infinity', lambda m: {"Infinity": "1e400", "-Infinity": "-1e400"}.get(m[0], m[0]), text)
 
 
+# A line that needs no YAML loader: a name, and a plain scalar or a list of plain scalars without anything that YAML could read
+# in another way. Words with a space inside are text, whatever they are.
+_PLAIN = r"[A-Za-z0-9_./+-](?:[A-Za-z0-9_./+ -]*[A-Za-z0-9_./+-])?"
+_SIMPLE = re.compile(rf"([A-Za-z_][A-Za-z0-9_-]*): +({_PLAIN}|\[(?:{_PLAIN}(?:, ?{_PLAIN})*)?\])[ \t]*\r?\n?")
+_LIST_SEPARATOR = re.compile(", ?")
+
+
+def scalar(text: str) -> Any:
+    """The value of a plain scalar."""
+    for kind, shape, _ in SHAPES:
+        if shape.match(text):
+            if kind == "null":
+                return None
+            if kind == "bool":
+                return text[0] in "tT"
+            if kind == "int":
+                return int(text, 0) if text.startswith(("0x", "0o")) else int(text)
+            return math.nan if text.lower() == ".nan" else float(text.lower().replace(".inf", "inf"))
+    return text
+
+
+def simple(head: str) -> dict[str, Any] | None:
+    """The value of a head whose every line is `name: scalar` or `name: [scalar, ...]`, or None if it has any other."""
+    out: dict[str, Any] = {}
+    at = 0
+    while at < len(head):
+        line = _SIMPLE.match(head, at)
+        if not line or line[2].startswith(("-", "+ ")) and " " in line[2] or line.end() < len(head) and not line[0].endswith("\n"):
+            return None
+        name, value = line.groups()
+        if name in out or SHAPES[0][1].match(name) or SHAPES[1][1].match(name):
+            return None
+        if value.startswith("["):
+            items = _LIST_SEPARATOR.split(value[1:-1]) if len(value) > 2 else []
+            if any(x.startswith("-") and (" " in x or x == "-") for x in items):
+                return None
+            out[name] = [scalar(x) for x in items]
+        elif value in ("-", "--", "---"):
+            return None
+        else:
+            out[name] = scalar(value)
+        at = line.end()
+    return out
+
+
 def parse(content: str) -> tuple[str, str]:
-    """(front matter as JSON, body); `null` without a head."""
+    """(front matter as JSON, body); `null` without a head. Heads of simple lines skip the YAML loader."""
     head, body = split(content)
-    return ("null" if head is None else to_json(load(head))), body
+    if head is None:
+        return "null", body
+    value = simple(head)
+    return to_json(load(head) if value is None else value), body

@@ -6,6 +6,8 @@ by semi-joins; the query's filters are applied to the candidates again, so a sta
 
 from __future__ import annotations
 
+import time
+import uuid
 from dataclasses import dataclass
 from typing import Any
 
@@ -108,17 +110,21 @@ class PostingIndex:
         return rows.join(found.withColumnRenamed("path", "__path"), F.col(path_col) == F.col("__path"), "left_semi")
 
     def save(self, folder: str) -> None:
-        """Postings sorted by field and key, so that a look-up skips most row groups; the version comes last and marks a whole index."""
-        self.postings.repartitionByRange("field", "ktype", "k_dbl", "k_str").sortWithinPartitions("field", "ktype", "k_dbl", "k_str").write.mode("overwrite").parquet(f"{folder}/postings")
-        self.signatures.write.mode("overwrite").parquet(f"{folder}/signatures")
-        self.postings.sparkSession.range(1).select(F.lit(VERSION).alias("version")).write.mode("overwrite").parquet(f"{folder}/version")
+        """Writes a new generation of the index. Postings are sorted by field and key, so that a look-up skips most row groups; the
+        version is written last and makes the generation the current one. Readers of an older one are not disturbed, and a
+        write that fails leaves the older one current."""
+        at = f"{folder.rstrip('/')}/gen-{time.time_ns()}-{uuid.uuid4().hex[:8]}"
+        self.postings.repartitionByRange("field", "ktype", "k_dbl", "k_str").sortWithinPartitions("field", "ktype", "k_dbl", "k_str").write.parquet(f"{at}/postings")
+        self.signatures.write.parquet(f"{at}/signatures")
+        self.postings.sparkSession.range(1).select(F.lit(VERSION).alias("version"), F.lit(at).alias("at")).write.parquet(f"{at}/version")
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> PostingIndex:
-        version = spark.read.parquet(f"{folder}/version").first()
-        if version is None or version["version"] != VERSION:
+        """The newest whole generation in a folder."""
+        found = spark.read.parquet(f"{folder.rstrip('/')}/gen-*/version").orderBy(F.desc(F.regexp_extract("at", "gen-([0-9]+)-[^/]*$", 1).cast("long"))).first()
+        if found is None or found["version"] != VERSION:
             raise IndexError_(f"an index of another version: {folder}")
-        return cls(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/signatures"))
+        return cls(spark.read.parquet(f"{found['at']}/postings"), spark.read.parquet(f"{found['at']}/signatures"))
 
     def reconcile(self, changed: DataFrame, current: DataFrame) -> PostingIndex:
         """The index after the paths in `changed` were added, edited or removed; `current` has their records now."""

@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quirefold.functions import predicates as P
+from quirefold.operators.shared import checkpoint
 
 if TYPE_CHECKING:
     from quirefold.operators.index import PostingIndex
@@ -95,10 +96,21 @@ class Query:
             rows = rows.orderBy(*self._sort())
         return rows if self.k is None else rows.limit(self.k)
 
-    def ranked_df(self, rank_col: str = "rank") -> DataFrame:
-        """to_df() with each row's place from 1. With a limit only the top k rows meet in one task."""
-        rows = self.to_df()
-        return rows.withColumn(rank_col, F.row_number().over(W.orderBy(*self._sort())).cast("long"))
+    def ranked_df(self, rank_col: str = "rank", columns: list[str] | None = None) -> DataFrame:
+        """to_df(), or some of its columns, with each row's place from 1.
+
+        With a limit only the top k rows meet in one task. Without one the rows are sorted by range and stay dealt out: a row's
+        place is its place in its partition, and the rows in the partitions before, one small row for each, are added.
+        """
+        if self.k is not None:
+            rows = self.to_df().withColumn(rank_col, F.row_number().over(W.orderBy(*self._sort())).cast("long"))
+            return rows.select(*(columns or self.source.columns), rank_col)
+        rows = self._matching().orderBy(*self._sort()).select(*(columns or self.source.columns), F.monotonically_increasing_id().alias("__at"))
+        rows = checkpoint(rows).withColumn("__part", F.shiftright("__at", 33))  # sorted once: another run may cut the ranges elsewhere
+        sizes = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
+        before = sizes.select("__part", (F.sum("n").over(W.orderBy("__part")) - F.col("n")).alias("__before"))
+        place = F.col("__at") - F.shiftleft("__part", 33) + F.col("__before") + 1
+        return rows.join(F.broadcast(before), "__part").withColumn(rank_col, place.cast("long")).drop("__at", "__part", "__before")
 
     def in_order(self) -> DataFrame:
         """to_df() in path order where no other order is asked for."""

@@ -11,6 +11,8 @@ from quirefold.functions.types import parse_type
 from quirefold.operators import validate, views
 from quirefold.operators.index import PostingIndex, key_predicate
 from quirefold.operators.query import Query
+from quirefold.operators.shared import fresh
+from quirefold.plans import files
 from quirefold.sources.records import records_from_texts
 from quirefold.sources.schema import FieldDef, Schema
 
@@ -60,7 +62,7 @@ _filter("filter_eq_string", "customer", "c_custkey", [("c_mktsegment", "eq", "BU
 _filter("filter_lt", "lineitem", "l_orderkey", [("l_quantity", "lt", 10)], _LINE, "l_quantity < 10")
 _filter("filter_le", "part", "p_partkey", [("p_size", "le", 10)], ["p_partkey", "p_size"], "p_size <= 10")
 _filter("filter_gt", "lineitem", "l_orderkey", [("l_discount", "gt", 0.05)], _LINE, "l_discount > 0.05")
-_filter("filter_ge", "part", "p_partkey", [("p_retailprice", "ge", 1500)], ["p_partkey", "p_retailprice"], "p_retailprice >= 1500")
+_filter("filter_ge", "part", "p_partkey", [("p_retailprice", "ge", 950)], ["p_partkey", "p_retailprice"], "p_retailprice >= 950")
 _filter("filter_between", "lineitem", "l_orderkey", [("l_quantity", "gt", 10), ("l_quantity", "lt", 20)], _LINE, "l_quantity > 10 AND l_quantity < 20")
 _filter("filter_date_range", "orders", "o_orderkey", [("o_orderdate", "ge", "1995-01-01"), ("o_orderdate", "lt", "1996-01-01")], ["o_orderkey", "o_custkey"], "o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1996-01-01'")
 _filter("filter_type_mismatch_eq", "part", "p_partkey", [("p_size", "eq", "11")], ["p_partkey"], "false")
@@ -101,10 +103,10 @@ def _tags(name: str, op: str, value, where: str) -> None:
         return Query(parts(spark, sf_dir)).where("tags", op, value).to_df().select("path", "p_name")
 
 
-_tags("contains_array", "contains", "green", f"list_contains({TAGS}, 'green')")
-_tags("contains_any", "contains_any", ["green", "blue"], f"list_has_any({TAGS}, ['green', 'blue'])")
+_tags("contains_array", "contains", "red", f"list_contains({TAGS}, 'red')")
+_tags("contains_any", "contains_any", ["red", "blue"], f"list_has_any({TAGS}, ['red', 'blue'])")
 _tags("contains_any_empty", "contains_any", [], "false")
-_tags("contains_all", "contains_all", ["green", "blue"], f"list_has_all({TAGS}, ['green', 'blue'])")
+_tags("contains_all", "contains_all", ["ring", "blue"], f"list_has_all({TAGS}, ['ring', 'blue'])")
 _tags("contains_all_empty", "contains_all", [], f"{TAGS} IS NOT NULL")
 _tags("array_eq_scalar", "eq", "green", "false")
 _tags("array_ne_scalar", "ne", "green", f"{TAGS} IS NOT NULL")
@@ -114,7 +116,7 @@ _tags("array_ne_scalar", "ne", "green", f"{TAGS} IS NOT NULL")
 
 
 def _ranked(name: str, build: Callable[[SparkSession, str], Query], show: list[str], sql: str) -> None:
-    register(name, sql)(lambda spark, sf_dir: build(spark, sf_dir).ranked_df().select(*show, "rank"))
+    register(name, sql)(lambda spark, sf_dir: build(spark, sf_dir).ranked_df(columns=show))
 
 
 def _row_number(order: str) -> str:
@@ -302,10 +304,10 @@ def _(spark, sf_dir):
     return rows.select("path", got("title", "string").alias("title"), got("size", "long").alias("size"), got("price", "double").alias("price"), got("tags[1]", "string").alias("tag"), "body")
 
 
-@register("frontmatter_query", f"SELECT {PATH} AS path FROM part WHERE p_size >= 30 AND list_contains({TAGS}, 'green')")
+@register("frontmatter_query", f"SELECT {PATH} AS path FROM part WHERE p_size >= 30 AND list_contains({TAGS}, 'red')")
 def _(spark, sf_dir):
     rows = records_from_texts(part_texts(spark, sf_dir))
-    return Query(rows, "path", "frontmatter").filter("size").ge(30).filter("tags").contains("green").to_df().select("path")
+    return Query(rows, "path", "frontmatter").filter("size").ge(30).filter("tags").contains("red").to_df().select("path")
 
 
 @register("body_verbatim", "SELECT doc_id, text AS body, false AS has_frontmatter FROM documents")
@@ -325,9 +327,17 @@ def _(spark, sf_dir):
 INDEXED = ["p_size", "p_brand", "p_retailprice", "tags"]
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
 def part_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, PostingIndex]:
-    rows = parts(spark, sf_dir)
-    return rows, PostingIndex.of_table(rows, "path", INDEXED)
+    """Parts and their index, which is built once a session and table, and then read from where it was saved."""
+    rows, key = parts(spark, sf_dir), (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        at = fresh(spark, "part-index")
+        PostingIndex.of_table(rows, "path", INDEXED).save(at)
+        _STORED[key] = at
+    return rows, PostingIndex.load(spark, _STORED[key])
 
 
 @register("index_postings", f"SELECT 'p_size' AS field, 'n' AS ktype, CAST(p_size AS VARCHAR) AS key, {PATH} AS path FROM part UNION ALL SELECT 'p_brand', 's', p_brand, {PATH} FROM part UNION ALL SELECT DISTINCT 'tags', 's', unnest({TAGS}), {PATH} FROM part")
@@ -349,15 +359,27 @@ def _lookup(name: str, filters: tuple, where: str) -> None:
 
 
 _lookup("index_eq_lookup", (("p_size", "eq", 7),), "p_size = 7")
-_lookup("index_range_lookup", (("p_retailprice", "ge", 1800.0),), "p_retailprice >= 1800")
-_lookup("index_contains_lookup", (("tags", "contains", "green"),), f"list_contains({TAGS}, 'green')")
+_lookup("index_range_lookup", (("p_retailprice", "ge", 990.0),), "p_retailprice >= 990")
+_lookup("index_contains_lookup", (("tags", "contains", "red"),), f"list_contains({TAGS}, 'red')")
 _lookup("index_intersect", (("p_size", "lt", 20), ("tags", "contains", "blue"), ("p_brand", "ne", "Brand#11")), f"p_size < 20 AND list_contains({TAGS}, 'blue') AND p_brand <> 'Brand#11'")
 
 
-@register("index_guarded_query", f"SELECT {PATH} AS path FROM part WHERE p_size = 7 AND p_retailprice > 1000")
+@register("index_guarded_query", f"SELECT {PATH} AS path FROM part WHERE p_size = 7 AND p_retailprice > 950")
+def _(spark, sf_dir):
+    rows, index = part_index(spark, sf_dir)
+    return Query(rows).using_index(index).filter("p_size").eq(7).filter("p_retailprice").gt(950).to_df().select("path")
+
+
+@register("index_guard_scan", f"SELECT {PATH} AS path FROM part WHERE p_size > 3")
 def _(spark, sf_dir):
+    """Too many candidates: the guard leaves the look-up out and scans."""
     rows, index = part_index(spark, sf_dir)
-    return Query(rows).using_index(index).filter("p_size").eq(7).filter("p_retailprice").gt(1000).to_df().select("path")
+    return Query(rows).using_index(index).filter("p_size").gt(3).to_df().select("path")
+
+
+@register("index_record_count", "SELECT count(*) AS n FROM part")
+def _(spark, sf_dir):
+    return part_index(spark, sf_dir)[1].signatures.agg(F.count(F.lit(1)).alias("n"))
 
 
 def _records(spark, sf_dir, size) -> DataFrame:
@@ -394,9 +416,110 @@ def _(spark, sf_dir):
 
 @register("records_listing", f"SELECT {PATH} AS path, {_row_number('p_partkey')} FROM part")
 def _(spark, sf_dir):
-    return Query(parts(spark, sf_dir)).ranked_df().select("path", "rank")
+    return Query(parts(spark, sf_dir)).ranked_df(columns=["path"])
 
 
 @register("path_guard", "SELECT url AS path, NOT (url = '' OR starts_with(url, '/') OR contains(url, chr(92)) OR list_contains(string_split(url, '/'), '..')) AS ok FROM pages")
 def _(spark, sf_dir):
     return read(spark, sf_dir, "pages").select(F.col("url").alias("path"), (~validate.bad_path(F.col("url"))).alias("ok"))
+
+
+# Record files, views and stored indexes: parts written as files and read back
+
+def _brought(text: str = "p_name") -> str:
+    return f"'---' || chr(10) || 'title: ' || {text} || chr(10) || 'size: ' || p_size || chr(10) || 'price: ' || CAST(p_retailprice AS VARCHAR) || chr(10) || '---' || chr(10) || 'A ' || p_type || ' part.' || chr(10)"
+
+
+def part_database(spark: SparkSession, sf_dir: str, **more: str) -> files.Written:
+    """A database of one collection `parts`, a file for each part, and the files of `more` beside them."""
+    rows = parts(spark, sf_dir).select(F.concat(F.substring("path", 6, 2), F.lit("/"), F.substring("path", 6, 100)).alias("path"), F.concat(F.lit("---\ntitle: "), "p_name", F.lit("\ntags: ["), F.array_join("tags", ", "), F.lit("]\nsize: "), "p_size", F.lit("\nprice: "), F.col("p_retailprice").cast("string"), F.lit("\nadded: 2024-02-"), F.lpad((F.col("p_partkey") % 40).cast("string"), 2, "0"), F.lit("\n---\nA "), "p_type", F.lit(" part.\n")).alias("content"))
+    schema = "---\ncollection: parts\nfields:\n  - {name: title, type: string, required: true}\n  - {name: tags, type: array<string>}\n  - {name: size, type: integer, range: [5, 40]}\n  - {name: price, type: float}\n  - {name: added, type: date}\n  - {name: seen, type: datetime}\n  - {name: kin, type: ref<parts>}\n---\n"
+    return files.write(spark, rows, {"parts/schema.md": schema} | {f"parts/{k}": v for k, v in more.items()})
+
+
+_REL = "substr(lpad(CAST(p_partkey AS VARCHAR), 8, '0'), 1, 2) || '/' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') || '.md'"
+
+
+@register("source_scan", f"SELECT {_REL} AS path, p_name AS title, CAST(p_size AS BIGINT) AS size, p_retailprice AS price, 'A ' || p_type || ' part.' || chr(10) AS body FROM part")
+def _(spark, sf_dir):
+    rows = part_database(spark, sf_dir).db.collection("parts").records()
+    got = lambda n, t: F.try_variant_get("frontmatter", f"$.{n}", t)
+    return rows.select("path", got("title", "string").alias("title"), got("size", "long").alias("size"), got("price", "double").alias("price"), "body")
+
+
+@register("source_query", f"SELECT {_REL} AS path FROM part WHERE p_size >= 30 AND list_contains({TAGS}, 'red')")
+def _(spark, sf_dir):
+    return part_database(spark, sf_dir).db.collection("parts").query().filter("size").ge(30).filter("tags").contains("red").to_df().select("path")
+
+
+@register("source_order", f"SELECT {_REL} AS path, {_row_number('p_size DESC, p_partkey')} FROM part ORDER BY p_size DESC, p_partkey LIMIT 40")
+def _(spark, sf_dir):
+    return part_database(spark, sf_dir).db.collection("parts").query().order_by("size").desc().limit(40).ranked_df(columns=["path"])
+
+
+@register("source_walk", f"SELECT {_REL} AS path FROM part UNION ALL SELECT unnest(['_draft.md', 'deep/er/x.md', 'notes.txt'])")
+def _(spark, sf_dir):
+    """What is a record: no hidden file, no schema, nothing below folders that hold none, no link; drafts and texts without a head are."""
+    made = part_database(spark, sf_dir, **{"_draft.md": "x", "deep/er/x.md": "x", "notes.txt": "x", ".hidden.md": "x", "node_modules/m.md": "x", "deep/schema.md": "x"})
+    files.link(made, "parts/notes.txt", "parts/link.md")
+    return made.db.collection("parts").records(body="false").select("path")
+
+
+@register("source_point_lookup", f"SELECT {_REL} AS path, 'A ' || p_type || ' part.' || chr(10) AS body FROM part WHERE p_partkey = 42")
+def _(spark, sf_dir):
+    return part_database(spark, sf_dir).db.collection("parts").record("00/00000042.md").select("path", "body")
+
+
+@register("source_collections", "SELECT 'parts' AS name, 'parts' AS collection, 7 AS fields")
+def _(spark, sf_dir):
+    db = part_database(spark, sf_dir, **{"../plain/a.md": "x"}).db
+    found = db.collections_df().where(F.col("name") == "parts").select("name")
+    c = db.collection("parts")
+    return found.select("name", F.lit(c.name).alias("collection"), F.lit(len(c.schema.fields)).alias("fields"))
+
+
+@register("source_validate", f"SELECT {_REL} AS path, 'size' AS field, 'value ' || p_size || ' outside range [5, 40]' AS message, 'error' AS severity FROM part WHERE p_size NOT BETWEEN 5 AND 40 UNION ALL SELECT {_REL}, 'added', 'invalid date `2024-02-' || lpad(CAST(p_partkey % 40 AS VARCHAR), 2, '0') || '` (expected YYYY-MM-DD)', 'error' FROM part WHERE p_partkey % 40 = 0 OR p_partkey % 40 > 31 UNION ALL SELECT * FROM (VALUES ('a.md', 'seen', 'invalid datetime `2024-02-01` (expected RFC 3339)', 'error'), ('b.md', 'kin', 'reference `../../x` is empty or has forbidden components', 'error'), ('c.md', 'kin', 'reference `parts/none.md` does not exist (dangling reference)', 'warning'), ('d.md', 'kin', 'reference `parts/out.md` resolves outside the database root', 'error'), ('e.md', '-', 'read error', 'error'), ('f.md', 'kin', 'reference `parts/loop.md` cannot be resolved', 'warning'), ('g.md', 'kin', 'reference `notes/x.md` must target the `parts` collection', 'error'))")
+def _(spark, sf_dir):
+    """Every kind of finding of a whole database, on files."""
+    head = lambda line: f"---\ntitle: x\n{line}\n---\n"
+    made = part_database(spark, sf_dir, **{"a.md": head("seen: 2024-02-01"), "b.md": head("kin: ../../x"), "c.md": head("kin: parts/none.md"), "d.md": head("kin: parts/out.md"), "e.md": "---\na: [\n---\n", "f.md": head("kin: parts/loop.md"), "g.md": head("kin: notes/x.md"), "../../outside.md": "x"})
+    files.link(made, "../outside.md", "parts/out.md")
+    files.link(made, "parts/loop.md", "parts/loop.md")
+    return made.db.validate("parts").select("path", "field", F.when(F.col("message").startswith("read error"), "read error").otherwise(F.col("message")).alias("message"), "severity")
+
+
+@register("source_index", f"SELECT {_REL} AS path FROM part WHERE p_size = 7 AND p_retailprice > 910")
+def _(spark, sf_dir):
+    """Built beside the records, stored, loaded again and used by a query."""
+    c = part_database(spark, sf_dir).db.collection("parts")
+    c.build_index()
+    return c.query().using_index(c.load_index()).filter("size").eq(7).filter("price").gt(910).to_df().select("path")
+
+
+@register("source_index_fresh", f"SELECT {_REL} AS path FROM part WHERE p_partkey = 42 UNION ALL SELECT 'new.md'")
+def _(spark, sf_dir):
+    """Paths that changed since the index was built: one edited, one added."""
+    made = part_database(spark, sf_dir)
+    c = made.db.collection("parts")
+    c.build_index()
+    files.put(made, {"parts/00/00000042.md": "---\nsize: 1\n---\n", "parts/new.md": "x"})
+    return c.load_index().stale(c.signatures())
+
+
+@register("view_published", f"SELECT \"group\" || '/' || {_REL} AS link, {_brought()} AS content FROM (SELECT DISTINCT unnest({TAGS}) AS \"group\", p_partkey, p_name, p_size, p_retailprice, p_type FROM part WHERE p_size > 45)")
+def _(spark, sf_dir):
+    """A view by tag, published as links and read back through them; publishing again leaves one generation."""
+    made = part_database(spark, sf_dir)
+    c = made.db.collection("parts")
+    for _ in range(2):
+        made.db.materialize_view("by-tag", c, c.query().filter("size").gt(45), "tags")
+    if files.generations(made) != 1:
+        raise RuntimeError("an old generation was left")
+    return files.read_links(spark, made, "by-tag").select("link", F.regexp_replace("content", r"(?m)^(tags|added): .*\n", "").alias("content"))
+
+
+@register("view_published_table", f'SELECT "group", count(*) AS n FROM ({_GROUPS}) GROUP BY 1')
+def _(spark, sf_dir):
+    rows = parts(spark, sf_dir)
+    views.publish_table(views.fan_out(rows, views.groups_of_column(rows, "tags")), fresh(spark, "views"), "parts_by_tag")
+    return spark.table("parts_by_tag").groupBy("group").agg(F.count(F.lit(1)).alias("n"))

@@ -86,3 +86,22 @@ def test_bad_schemas(head):
         parse_schema(f"---\n{head}\n---\n")
     with pytest.raises(SchemaError):
         parse_schema("no front matter")
+
+
+def test_simple_heads_equal_the_loader():
+    """Heads of simple lines give what the YAML loader gives, and any other goes to the loader."""
+    import random
+
+    r = random.Random(11)
+    bits = ["a", "-", "--", "1", "04", "-4", "+4", "4.5", ".5", "5.", "1e5", "0x1F", "0o17", "true", "True", "yes", "null", "~", ".inf", "-.inf", ".nan", "1_000", "2024-01-01", "a/b", "x y", "- x", "+ x", ".", "..", "...", "---", "[a, b]", "[]", "[1,2]", "[- a]", "[-]", "[a, -1]", "[a,  b]", "[a b, .nan]", "a: b", "'q'", "#c", "a #c", "&a", "*a", "!t", "|", ">", "{a: 1}", "", " ", "a,b", "é", "1 2", "a\tb", "12:30"]
+    keys = ["a", "b_c", "d-e", "_f", "true", "null", "on", "a", "1", "x y", "é", "No"]
+    taken = 0
+    for _ in range(6000):
+        head = "".join(f"{r.choice(keys)}:{r.choice([' ', '  ', ''])}{r.choice(bits)}{r.choice([chr(10), chr(13) + chr(10), ' ' + chr(10), ''])}" for _ in range(r.randint(1, 3)))
+        got = fm.simple(head)
+        if got is None:
+            continue
+        taken += 1
+        want = fm.load(head)
+        assert repr(got) == repr(want) and [type(v) for v in got.values()] == [type(v) for v in want.values()], head
+    assert taken > 500
