@@ -440,21 +440,77 @@ def test_pieces_nbest_ids(spark, model, n):
         pieces.decode(spark.createDataFrame([(1, [10**6])], "doc_id long, ids array<int>"), model).collect()
 
 
-def test_pipeline(spark, tmp_path):
-    """Each stage against brute force on what it got."""
+def brute_quality(rows):
+    """The rows (doc_id, text, lang, source, ...) that pass: quartiles of each group's documents, by sorting, in the sketch's bins."""
+    def top(v):
+        e = max(v.bit_length() - 7, 0)
+        return ((v >> e) + 1 << e) - 1
+
+    measured = []
+    for r in rows:
+        n, chars, symbols, lines, dups, repeats = brute_counts(r[1])
+        metrics = (1000 * symbols // max(chars, 1), 1000 * max(dups - 1, 0) // max(lines, 1), 1000 * repeats // max(n, 1), 100 * chars // max(n, 1))
+        measured.append((r, metrics, n < 10 or 100 * repeats > 20 * n))
+    kept = []
+    for r, metrics, failed in measured:
+        good = not failed
+        for k, (resolution, lower) in enumerate([(5, False), (20, False), (25, False), (10, True)]):
+            peers = next((p for p in ([m[k] for x, m, f in measured if not f and all(x[j] == r[j] for j in same)] for same in ((2, 3), (2,))) if len(p) >= 100), [m[k] for _, m, f in measured if not f])
+            if not peers:
+                good = False
+                continue
+            q1, q2, q3 = (top(sorted(peers)[-(-len(peers) * q // 100) - 1]) for q in (25, 50, 75))
+            s = 6 * max(q3 - q2, q2 - q1, resolution)
+            good &= metrics[k] <= q3 + s and not (lower and metrics[k] < q1 - s)
+        if good:
+            kept.append(r)
+    return kept
+
+
+def test_pipeline(spark, tmp_path, model):
+    """Each stage's rows against a brute-force version, on what the stage before it kept."""
+    from test_dedup import brute_simhash
+
     import corpus_pipeline as cp
 
     item = passage(50, 30)
     rows = [(i, passage(100 + i, 90).replace("##", ""), "en", f"s{i % 2}") for i in range(40)]
     rows += [(100, rows[3][1], "en", "s0"), (101, rows[4][1] + " more", "en", "s1"), (102, passage(70, 50).replace("##", "") + " " + item, "en", "s0"), (103, "short", "en", "s0"), (104, None, None, None), (105, rows[5][1] + " call +1 555 555 0100 now", "de", "s0"), (106, passage(71, 60).replace("##", "") + " write a@b.example.com", "en", None)]
+    rows += [(110 + i, f"{passage(80 + i, 60)} Zyrkon wrote zk@mail.example.com {passage(90 + i, 30)}".replace("##", ""), "en", "s1") for i in range(3)] + [(120, "Zyrkon " + passage(95, 60).replace("##", ""), "en", "s1"), (121, "### $$$ " * 40, "en", "s0")]
     docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     out = {r.doc_id: r for r in cp.run(spark, str(tmp_path)).collect()}
-    assert not {100, 102, 103, 104} & set(out) and {r[0] for r in rows[:40]} <= set(out) and 106 in out
+    assert not {100, 101, 102, 103, 104, 121} & set(out) and {r[0] for r in rows[:40]} <= set(out) and 106 in out
     assert [n for n, _ in cp.STAGES] == ["quality_rules", "near_dedup", "decontamination", "pii", "sentencepiece"]
-    for _, stage in cp.STAGES[:-1]:
-        docs = stage(spark, docs, str(tmp_path))
+
+    def near(rows):
+        groups = {}
+        for r, (_, p, c) in zip(rows, brute_simhash(rows, 5, 7)):
+            groups.setdefault(c if c is not None else p, []).append(r)
+        return [min(g) for g in groups.values()]
+
+    def sanitised(rows):
+        terms = brute_terms([r[:2] for r in rows], 2, 0.6)
+        out = []
+        for r in rows:
+            spans = [(k, s, e, 0.0) for k, s, e in pii.find(r[1])]
+            spans += [("term", m.start(), m.end(), 1.0) for m in re.finditer(r"[0-9A-Za-z\x80-\U0010FFFF]+", r[1]) if m[0].lower() in terms and not any(s < m.end() and m.start() < e for _, s, e, _ in spans)]
+            text = pii.rewrite(r[1], spans, 0.8)
+            out.append((r[0], text, r[2], r[3], len(text)))
+        return out
+
+    clean = lambda rows: [r for r, x in zip(rows, brute_overlaps(rows, [(1, item)], 10)) if not x[-1]]
+    want = [(*r, len(r[1] or "")) for r in rows]
+    for (name, stage), brute in zip(cp.STAGES, (brute_quality, near, clean, sanitised)):
+        docs, want = stage(spark, docs, str(tmp_path)), brute(want)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"] and docs.schema["n_chars"].dataType.typeName() == "long"
-    texts = {r.doc_id: r for r in docs.collect()}
-    assert "a@b" not in texts[106].text and "<email>" in texts[106].text and texts[106].n_chars == len(texts[106].text) and texts[0].text == rows[0][1]
+        assert ordered(docs.collect()) == ordered(want), name
+    texts = {r[0]: r for r in want}
+    assert "a@b" not in texts[106][1] and "<email>" in texts[106][1] and texts[0][1] == rows[0][1] and not any("Zyrkon" in r[1] for r in want)
+    lattice = model.prepare()
+    assert set(out) == set(texts)
+    for i, r in out.items():
+        assert r.round_trip and r.n_pieces == len(r.ids) and r.nbest_scores == pytest.approx(brute_paths(lattice, texts[i][1], 4)) and lattice.decode(np.array(r.ids)) == texts[i][1]
+    null = spark.createDataFrame([(1, None, None, None, None)], docs.schema)
+    assert [(r.doc_id, r.n_pieces, r.ids) for r in cp.tokenisation(spark, null, str(tmp_path)).collect()] == [(1, 0, [])]
