@@ -17,8 +17,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves one document of each SimHash component, that of the least doc_id."""
-    return simhash.keep_first(docs)
+    """Leaves one document of each SimHash component, that of the least doc_id. Five-word shingles; seven bits are as far as
+    fingerprints of 64 bits tell near copies from unrelated texts."""
+    return simhash.keep_first(docs, shingle=5, radius=7)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +46,7 @@ STAGES = [
     ("sentencepiece", tokenisation),
 ]
 
-#: Hashing, co-occurrence scores and lattices are beyond SQL; tests/llm hold the stages against brute force.
+#: Hashing, co-occurrence scores and lattices are beyond SQL; tests/llm hold each stage's rows against a brute-force version.
 ORACLE_SQL = None
 
 
