@@ -90,11 +90,11 @@ class Forest:
             rest = at != item
             item, at = item[rest], at[rest]
 
-    def within(self, radius: int, prints: np.ndarray, unit: np.ndarray, budget: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(look-up, tree member) index pairs within the radius, a slice of look-ups at a time."""
+    def within(self, radius: int, prints: np.ndarray, unit: np.ndarray, budget: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(look-up, tree member) index pairs within the radius, a slice of look-ups at a time: at most `budget` edges are at hand."""
         place = np.minimum(np.searchsorted(self.units, unit), max(len(self.units) - 1, 0))
         ask = np.flatnonzero(self.units[place] == unit) if len(self.units) else np.zeros(0, np.int64)
-        slices = np.cumsum(self.size[place[ask]]) // budget
+        slices = np.cumsum(self.size[place[ask]] * (2 * radius + 1)) // budget
         for s in np.unique(slices):
             q = ask[slices == s]
             node = self.roots[place[q]]
@@ -153,10 +153,11 @@ def _links(radius: int):
 
 
 def _blocks(radius: int, n: int) -> tuple[list[tuple[int, int]], int]:
-    """(shift and width of each block, k): the least k with about 500 fingerprints to a shard or fewer."""
+    """(shift and width of each block, k): the least k with 4096 shards or more to a choice, and about 500 fingerprints to a shard
+    or fewer. Small corpora of any size have the same k, so that shards multiply no faster than the corpus grows."""
     for k in range(1, 5):
         m = radius + k
-        if n / 2 ** (64 * k // m) <= 500:
+        if (bits := 64 * k // m) >= 12 and n / 2**bits <= 500:
             break
     edges = [64 * i // m for i in range(m + 1)]
     return [(lo, hi - lo) for lo, hi in zip(edges, edges[1:])], k
