@@ -115,9 +115,10 @@ class Levels:
         return found
 
     def add(self, batch: np.ndarray) -> None:
+        """Takes a sorted batch of which no level holds an entry."""
         rank = 0
         while self.levels and self.levels[-1][0] == rank:
-            batch = np.union1d(self.levels.pop()[1], batch)
+            batch = np.sort(np.concatenate([self.levels.pop()[1], batch]), kind="stable")  # a merge of two sorted runs
             rank += 1
         self.levels.append((rank, batch))
 
