@@ -312,7 +312,7 @@ def _lists(ids: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(i) for i in ids])], pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
 
 
-def encode(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, n: int = 4, piece_bytes: int = 4 << 20) -> DataFrame:
+def encode(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, n: int = 4, piece_bytes: int = 1 << 20) -> DataFrame:
     """The columns `keep` of each row, ids (array<int>) of the best segmentation, n_pieces, the scores of the n best
     (nbest_scores, descending; fewer where the lattice has fewer paths), ids_sha256, round_trip, the n best themselves (nbest, an
     array of (score, ids), the best one first) and the digest of each (nbest_sha256).
