@@ -2,24 +2,22 @@
 
 Words are hashed; every `gram` words make a gram, and in any `window` consecutive words the least gram hash is kept.
 Equal windows keep equal grams, so joining the kept grams of documents with those of the benchmark misses no shared
-window. Hits are then extended: in documents that were hit, each window that keeps a hit gram is compared with the
-benchmark's windows as text. An item shorter than a window is a window of its own length; its anchor is its first word.
+window. Hits are then extended: each window that keeps a hit gram is compared with the benchmark's windows as
+text. An item shorter than a window is a window of its own length; its anchor is its first word.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.llm import common
 
-#: What parts words, in text that has no A-Z any more and in any text.
-BREAK, BREAK_CASED = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What parts words, in text that has no A-Z any more.
+BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows of benchmark anchors or windows that may be broadcast; beyond that the join is a shuffled one.
-BROADCAST_ROWS = 500_000
+#: Bytes of benchmark anchors or windows that may be broadcast, and what a row takes beside its strings; beyond that the join is shuffled.
+BROADCAST_BYTES, ROW = 64 << 20, 64
 SHORT = 1  # salt of first words
 
 
@@ -30,12 +28,10 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(plain, BREAK), "")
 
 
-def _with_grams(rows: DataFrame, window: int, gram: int, when: Column | None = None) -> DataFrame:
+def _with_grams(rows: DataFrame, window: int, gram: int) -> DataFrame:
     """Adds w (words), h (their hashes) and g: for each window start, the least gram hash in the window. Each step is a column of
-    its own that the next uses twice, so it is evaluated once. `when` false leaves them null."""
-    every = F.lit(True) if when is None else when
-    rows = rows.withColumn("w", F.when(every, words(F.col("text"))))
-    rows = rows.withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
+    its own that the next uses twice, so it is evaluated once."""
+    rows = rows.withColumn("w", words(F.col("text"))).withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
     last = F.greatest(F.size("h") - gram, F.lit(0))
     rows = rows.withColumn("g", F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*(F.get("h", i + j) for j in range(gram)))))
     span, have = window - gram + 1, 1
@@ -47,12 +43,33 @@ def _with_grams(rows: DataFrame, window: int, gram: int, when: Column | None = N
     return rows.withColumn("g", F.slice("g", F.lit(1), F.greatest(F.size("h") - window + 1, F.lit(0))))
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
+def _candidates(docs: DataFrame, anchors: DataFrame, small: bool, window: int, gram: int, lengths: list[int]) -> DataFrame:
+    """(row_key, doc_id, n_words, s, n, text) for each window that has one of the anchors, and one row with a null text for each document.
 
-def _texts(starts: Column, length: int | Column) -> Column:
-    return F.transform(starts, lambda s: F.struct(s.alias("s"), F.lit(length).cast("int").alias("n"), F.array_join(F.slice(F.col("w"), s + 1, length), " ").alias("text")))
+    A document's array of anchors is exploded beside its words, and only what meets an anchor is written as text: texts don't
+    move. Anchors that are too many to broadcast are found by a shuffle first, and texts meet them by their key.
+    """
+    rows = _with_grams(docs, window, gram)
+    # a null for the document itself, the windows' anchors by start, and the first words' where items are shorter than a window
+    every = [F.array(F.lit(None).cast("long")), F.col("g")] + ([F.transform("h", lambda x: F.xxhash64(x, F.lit(SHORT)))] if lengths else [])
+    # never empty, so explode_outer is explode without the filter on its size, for which Catalyst would hash every text again
+    rows = rows.select("row_key", "doc_id", "w", F.size("g").alias("n_starts"), F.concat(*every).alias("every"))
+    if small:
+        anchors = F.broadcast(anchors.withColumn("found", F.lit(True)))
+        rows = rows.select("row_key", "doc_id", "w", "n_starts", F.posexplode_outer("every").alias("at", "anchor"))
+        rows = rows.join(anchors, "anchor", "left").where("found OR at = 0")
+    else:
+        hits = rows.select("row_key", F.explode_outer(F.array_distinct("every")).alias("anchor")).join(anchors, "anchor", "left_semi")
+        hits = hits.groupBy("row_key").agg(F.collect_set("anchor").alias("anchors"))
+        rows = rows.join(hits, "row_key", "left").select("row_key", "doc_id", "w", "n_starts", "anchors", F.posexplode_outer("every").alias("at", "anchor"))
+        rows = rows.where(F.col("at").eqNullSafe(0) | F.array_contains("anchors", F.col("anchor")))
+    whole = F.col("at") <= F.col("n_starts")
+    rows = rows.withColumn("s", F.when(whole, F.col("at") - 1).otherwise(F.col("at") - 1 - F.col("n_starts")))
+    sizes = F.when(whole, F.array(F.lit(window))).otherwise(F.array(*map(F.lit, lengths))) if lengths else F.array(F.lit(window))
+    rows = rows.withColumn("n", F.explode(sizes))
+    text = F.when(F.col("at") > 0, F.array_join(F.slice("w", F.greatest("s", F.lit(0)) + 1, F.col("n")), " "))
+    rows = rows.where("s + n <= size(w) OR at = 0")
+    return rows.select("row_key", "doc_id", F.size("w").cast("long").alias("n_words"), "s", "n", text.alias("text"))
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, gram: int = 5) -> DataFrame:
@@ -73,30 +90,17 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     one = lambda n, start, anchor: F.struct(F.lit(n).cast("int").alias("n"), F.array_join(F.slice("w", start, n), " ").alias("text"), anchor.alias("anchor"))
     its = F.when(short, F.array(one(F.size("w"), F.lit(1), F.xxhash64(F.get("h", F.lit(0)), F.lit(SHORT))))).otherwise(F.transform("g", lambda x, i: one(window, i + 1, x)))
     item_windows = common.checkpoint(items.select("item_id", F.explode(its).alias("x")).select("item_id", "x.*").distinct())
-    item_anchors = item_windows.select("anchor").distinct()
-    n_windows, n_anchors = item_windows.count(), item_anchors.count()
+    volume = item_windows.agg(F.count_distinct("anchor").alias("anchors"), F.coalesce(F.sum(F.octet_length("text") + F.coalesce(F.octet_length("item_id"), F.lit(0)) + ROW), F.lit(0)).alias("bytes")).first()
     lengths = sorted(r["n"] for r in item_windows.where(F.col("n") < window).select("n").distinct().collect())  # fewer than `window` values
 
-    first = F.transform("h", lambda x: F.xxhash64(x, F.lit(SHORT)))
-    kept = _with_grams(docs, window, gram)
-    every = F.array_distinct("g") if not lengths else F.concat(F.array_distinct("g"), F.array_distinct(first))
-    hits = kept.select("row_key", F.explode(every).alias("anchor")).join(_small(item_anchors, n_anchors), "anchor", "left_semi")
-    hits = hits.groupBy("row_key").agg(F.collect_set("anchor").alias("anchors"))
-
-    hit = F.col("anchors").isNotNull()
-    again = _with_grams(docs.join(hits, "row_key", "left"), window, gram, hit)
-    # the arrays are arguments, not closed over: Catalyst may move a closed-over expression into the loop
-    at = lambda a, n: F.filter(F.transform(a, lambda x, i: F.when(F.array_contains("anchors", x) & (i + n <= F.size("w")), i)), lambda i: i.isNotNull())
-    found = [_texts(at(F.col("g"), window), window), *(_texts(at(first, n), n) for n in lengths)]
-    n_words = F.coalesce(F.size("w"), F.size(F.array_remove(F.split("text", BREAK_CASED), "")), F.lit(0)).cast("long")  # case doesn't change the count
-    again = again.select("row_key", "doc_id", n_words.alias("n_words"), F.when(hit, reduce(F.concat, found)).alias("candidates"))
-    again = common.checkpoint(again)
-
-    spans = again.select("row_key", F.explode("candidates").alias("x")).select("row_key", "x.*").join(_small(item_windows.select("item_id", "n", "text"), n_windows), ["n", "text"])
+    small = volume["anchors"] * ROW <= BROADCAST_BYTES
+    found = common.checkpoint(_candidates(docs, item_windows.select("anchor").distinct(), small, window, gram, lengths))
+    known = item_windows.select("item_id", "n", "text")
+    spans = found.where("text IS NOT NULL").select("row_key", "s", "n", "text").join(F.broadcast(known) if volume["bytes"] <= BROADCAST_BYTES else known, ["n", "text"])
     cover = F.aggregate("spans", F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), lambda acc, x: F.struct(F.greatest(acc["end"], x["s"] + x["n"]).alias("end"), (acc["n"] + F.greatest(x["s"] + x["n"] - F.greatest(acc["end"], x["s"]), F.lit(0))).alias("n")), lambda acc: acc["n"])
     spans = spans.groupBy("row_key").agg(F.sort_array(F.collect_set(F.struct("s", "n"))).alias("spans"), F.sort_array(F.collect_set("item_id")).alias("items"))
     spans = spans.select("row_key", cover.cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
-    out = again.drop("candidates").join(spans, "row_key", "left").na.fill(0, ["n_hit", "n_items"])
+    out = found.where("text IS NULL").select("row_key", "doc_id", "n_words").join(spans, "row_key", "left").na.fill(0, ["n_hit", "n_items"])
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "row_key")
 
 

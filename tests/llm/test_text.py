@@ -146,6 +146,13 @@ def test_decontaminate(spark, docs, none, window, gram):
     assert decontaminate.find_overlaps(none, bench).collect() == [] and not any(r.contaminated for r in decontaminate.find_overlaps(docs, bench.limit(0)).collect())
 
 
+def test_decontaminate_beyond_the_broadcast_bound(spark, docs, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
+    items = [(1, passage(0, 30)), (2, "A b C d e F g h i j k"), (5, passage(3, 12)), (6, "one"), (7, "same line")]
+    got = decontaminate.find_overlaps(docs, spark.createDataFrame(items, "item_id long, text string")).drop("row_key").collect()
+    assert ordered(got) == ordered(brute_overlaps(documents(), items, 10))
+
+
 def test_decontaminate_is_native(docs, spark):
     bench = spark.createDataFrame([(1, passage(0, 30))], "item_id long, text string")
     assert not re.search("Python|Pandas|Arrow", decontaminate.find_overlaps(docs, bench)._jdf.queryExecution().executedPlan().toString())
