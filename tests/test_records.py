@@ -1,7 +1,7 @@
 import os
 
 import pytest
-from notes import FILES, names
+from lights import FILES, LIGHTS, having, names, ranked
 
 from quirefold.errors import CollectionError, DatabaseError, RecordError
 from quirefold.operators.index import PostingIndex
@@ -11,38 +11,35 @@ from quirefold.sources.records import walk
 
 
 @pytest.fixture
-def notes(spark, make_db):
-    return Database(spark, make_db({"notes": FILES})).collection("notes")
-
-
-def test_filters(notes):
-    q = notes.query()
-    assert sorted(names(q)) == ["alpha", "beta", "delta", "gamma"]
-    assert names(q.filter("rating").ge(4)) == ["alpha", "gamma"]
-    assert names(q.filter("title").eq("Beta")) == ["beta"]
-    assert len(names(q.filter("title").ne("Alpha"))) == 3
-    assert names(q.filter("rating").gt(2).filter("rating").lt(5)) == ["beta", "gamma"]
-    assert names(q.filter("tags").contains_any(["python", "ai"])) == ["beta", "gamma"]
-    assert names(q.filter("tags").contains_all(["rust", "db"])) == ["alpha"]
-    assert names(q.filter("tags").contains("db")) == ["alpha", "beta"]
-    assert names(q.filter("tags").contains_all([])) == ["alpha", "beta", "gamma"]
-    assert names(q.filter("tags").contains_any([])) == []
-    assert names(q.filter("tags").ne("rust")) == ["alpha", "beta", "gamma"]
-    assert names(q.filter("tags").eq("rust")) == []
-    assert names(q.filter("rating").eq("5")) == [] and names(q.filter("rating").eq(5.0)) == ["alpha"]
-    assert names(q.filter("rating").lt("9")) == [] and names(q.filter("nope").ne(1)) == []
-
-
-def test_order_and_limit(notes):
-    q = notes.query()
-    assert names(q.order_by("rating").asc()) == ["delta", "beta", "gamma", "alpha"]
-    assert names(q.order_by("title").asc().order_by("rating").desc()) == ["alpha", "gamma", "beta", "delta"]
-    assert names(q.order_by("read_at").asc())[-1] == names(q.order_by("read_at").desc())[-1] == "delta"
-    assert names(q.filter("tags").contains_any(["rust", "db"]).order_by("rating").desc()) == ["alpha", "gamma", "beta"]
-    full = names(q.order_by("rating").desc())
-    for k in (0, 1, 3, 9):
-        assert names(q.order_by("rating").desc().limit(k)) == full[:k]
-    assert names(q.limit(3).limit(2)) == ["alpha", "beta"]
+def lights(spark, make_db):
+    return Database(spark, make_db({"lights": FILES})).collection("lights")
+
+
+def test_filters(lights):
+    q = lights.query()
+    place, signals, metres = (q.filter(f) for f in ("place", "signals", "metres"))
+    assert sorted(names(q)) == sorted(LIGHTS)
+    assert names(metres.ge(20)) == having("metres", lambda v: v >= 20) and names(metres.le(20)) == having("metres", lambda v: v <= 20)
+    assert names(place.eq("Crail")) == ["fife"] and names(place.ne("Crail")) == having("place", lambda v: v != "Crail")
+    assert names(metres.gt(11).filter("metres").lt(41)) == having("metres", lambda v: 11 < v < 41)
+    for some in (["fog", "fixed"], ["red"], ["white", "red"], ["none"], []):
+        assert names(signals.contains_any(some)) == having("signals", lambda v: bool(set(v) & set(some)))
+        assert names(signals.contains_all(some)) == having("signals", lambda v: set(v) >= set(some))
+    assert names(signals.contains("flash")) == having("signals", lambda v: "flash" in v)
+    assert names(signals.ne("flash")) == having("signals", lambda v: True) and names(signals.eq("flash")) == []
+    assert names(metres.eq("41")) == names(metres.lt("99")) == names(q.filter("keeper").ne(1)) == [] and names(metres.eq(41.0)) == ["arran"]
+
+
+def test_order_and_limit(lights):
+    q = lights.query()
+    for field in ("metres", "lit", "place"):
+        assert names(q.order_by(field).asc()) == ranked(field) and names(q.order_by(field).desc()) == ranked(field, True)
+    assert names(q.order_by("place").asc().order_by("metres").desc()) == ranked("metres", True)
+    red = having("signals", lambda v: "red" in v)
+    assert names(q.filter("signals").contains("red").order_by("metres").asc()) == [n for n in ranked("metres") if n in red]
+    for k in (0, 2, 5, 8):
+        assert names(q.order_by("metres").desc().limit(k)) == ranked("metres", True)[:k]
+    assert names(q.limit(4).limit(2)) == sorted(LIGHTS)[:2]
 
 
 def test_missing_null_nan_and_big_numbers(spark, make_db):
@@ -57,32 +54,32 @@ def test_missing_null_nan_and_big_numbers(spark, make_db):
 
 
 def test_walk_and_lookup(spark, make_db, tmp_path):
-    root = make_db({"notes": FILES | {".hidden.md": "x", "node_modules/a.md": "x", "a/x.md": "x", "a-b.md": "x", "a.md": "x", "_draft.md": "x", "_d/u.md": "x", "sub/schema.md": "x", "readme.txt": "plain"}})
-    os.symlink(tmp_path / "notes" / "alpha.md", tmp_path / "notes" / "link.md")
-    os.symlink(tmp_path / "notes", tmp_path / "notes" / "cycle")
-    found = walk(os.path.join(root, "notes"))
+    root = make_db({"lights": FILES | {".hidden.md": "x", "node_modules/a.md": "x", "a/x.md": "x", "a-b.md": "x", "a.md": "x", "_draft.md": "x", "_d/u.md": "x", "sub/schema.md": "x", "readme.txt": "plain"}})
+    os.symlink(tmp_path / "lights" / "arran.md", tmp_path / "lights" / "link.md")
+    os.symlink(tmp_path / "lights", tmp_path / "lights" / "cycle")
+    found = walk(os.path.join(root, "lights"))
     assert {"a/x.md", "_draft.md", "_d/u.md", "readme.txt"} <= set(found)
     assert not {".hidden.md", "schema.md", "sub/schema.md", "link.md"} & set(found) and not any("node_modules" in p or "cycle" in p for p in found)
     assert found.index("a/x.md") < found.index("a-b.md") < found.index("a.md")
-    c = Database(spark, root).collection("notes")
-    assert c.record("alpha.md").first().body == "Alpha body.\n"
-    for bad in ("../etc/passwd", "/etc/passwd", "..\\..\\secret", "notes/../x", "", "link.md", "cycle/alpha.md/../x", "missing.md"):
+    c = Database(spark, root).collection("lights")
+    assert c.record("arran.md").first().body == "Log of arran.\n"
+    for bad in ("../etc/passwd", "/etc/passwd", "..\\..\\secret", "lights/../x", "", "link.md", "cycle/arran.md/../x", "missing.md"):
         with pytest.raises(RecordError):
             c.record(bad)
 
 
 def test_fail_fast_and_permissive(spark, make_db):
-    c = Database(spark, make_db({"notes": FILES | {"bad.md": "---\na: [\n---\n", "open.md": "---\na: 1\n"}})).collection("notes")
+    c = Database(spark, make_db({"lights": FILES | {"bad.md": "---\na: [\n---\n", "open.md": "---\na: 1\n"}})).collection("lights")
     with pytest.raises(Exception, match="bad.md|open.md"):
-        c.query().filter("title").eq("Alpha").to_df().collect()
+        c.query().filter("place").eq("Crail").to_df().collect()
     assert {r.path for r in c.records(mode="PERMISSIVE").where("error IS NOT NULL").collect()} == {"bad.md", "open.md"}
     assert {(r.path, r.field) for r in c.validate().collect()} == {("bad.md", "-"), ("open.md", "-")}
 
 
 def test_database(spark, make_db, tmp_path):
-    root = make_db({"notes": FILES, "books": {"schema.md": "---\ncollection: library\nfields: []\n---\n"}, "plain": {"a.md": "x"}, ".hidden": {"schema.md": "x"}, "views": {"schema.md": "x"}, "broken": {"schema.md": "x"}})
+    root = make_db({"lights": FILES, "books": {"schema.md": "---\ncollection: library\nfields: []\n---\n"}, "plain": {"a.md": "x"}, ".hidden": {"schema.md": "x"}, "views": {"schema.md": "x"}, "broken": {"schema.md": "x"}})
     db = Database(spark, root)
-    assert db.collections() == ["books", "broken", "notes"] == [r.name for r in db.collections_df().collect()]
+    assert db.collections() == ["books", "broken", "lights"] == [r.name for r in db.collections_df().collect()]
     assert db.collection("books").name == "library"
     for bad in ("../other", "a/b", "..", ""):
         with pytest.raises(DatabaseError):
@@ -125,27 +122,26 @@ def test_validator(spark, head, kind, message):
     assert (not got) if message is None else (len(got) == 1 and message in got[0])
 
 
-def test_index(spark, notes, tmp_path):
-    assert notes.build_index() == 4
-    index = notes.load_index()
-    shapes = [(("rating", "eq", 5),), (("rating", "ge", 4),), (("tags", "contains", "db"),), (("title", "gt", "B"), ("rating", "lt", 4)), (("rating", "ne", 5),), (("tags", "contains_any", ["ai"]),), (("rating", "eq", 4.0),), (("rating", "eq", "4"),)]
+def test_index(spark, lights, tmp_path):
+    assert lights.build_index() == len(LIGHTS)
+    index = lights.load_index()
+    shapes = [(("metres", "eq", 34),), (("metres", "ge", 20),), (("signals", "contains", "white"),), (("place", "gt", "D"), ("metres", "lt", 30)), (("metres", "ne", 16),), (("signals", "contains_any", ["fog", "fixed"]),), (("metres", "eq", 20.0),), (("metres", "eq", "20"),)]
     for filters in shapes:
-        scan, found = notes.query(), index.narrow(notes.records(), "path", filters, always=True)
+        scan, found = lights.query(), index.narrow(lights.records(), "path", filters, always=True)
         narrowed = Query(found, "path", "frontmatter")
         for f in filters:
             scan, narrowed = scan.where(*f), narrowed.where(*f)
         assert names(scan) == names(narrowed) == names(scan.using_index(index))
-    assert index.is_fresh(notes.signatures())
-    with open(os.path.join(notes.path, "beta.md"), "w") as f:
-        f.write("---\ntitle: Beta\nrating: 5\n---\n")
-    with open(os.path.join(notes.path, "new.md"), "w") as f:
-        f.write("---\ntitle: New\nrating: 5\n---\n")
-    os.remove(os.path.join(notes.path, "alpha.md"))
-    assert not index.is_fresh(notes.signatures())
-    changed = spark.createDataFrame([("beta.md",), ("new.md",), ("alpha.md",)], "path string")
-    now = index.reconcile(changed, notes.records())
-    assert {r.path for r in now.posting("rating", "eq", 5).collect()} == {"beta.md", "new.md"} and now.record_count() == 4
-    assert {r.path for r in now.postings.where("field = 'tags'").select("path").distinct().collect()} == {"gamma.md"}
+    assert index.is_fresh(lights.signatures())
+    for name in ("bressay.md", "girdle.md"):
+        with open(os.path.join(lights.path, name), "w") as f:
+            f.write("---\nplace: Rebuilt\nmetres: 41\n---\n")
+    os.remove(os.path.join(lights.path, "arran.md"))
+    assert not index.is_fresh(lights.signatures())
+    changed = spark.createDataFrame([("bressay.md",), ("girdle.md",), ("arran.md",)], "path string")
+    now = index.reconcile(changed, lights.records())
+    assert {r.path for r in now.posting("metres", "eq", 41).collect()} == {"bressay.md", "girdle.md"} and now.record_count() == len(LIGHTS)
+    assert {r.path for r in now.postings.where("field = 'signals'").select("path").distinct().collect()} == {"corsewall.md", "fife.md"}
 
 
 def test_large_integers_in_index(spark, make_db):
@@ -158,22 +154,24 @@ def test_large_integers_in_index(spark, make_db):
 def test_views(spark, make_db):
     from quirefold.errors import ViewError
 
-    root = make_db({"my-notes": FILES | {"deep/e.md": "---\ntags: [a/b, x y, café, rust, rust]\n---\n"}})
+    root = make_db({"old-lights": FILES | {"deep/e.md": "---\nsignals: [a/b, x y, café, flash, flash]\n---\n"}})
     db = Database(spark, root)
-    c = db.collection("my-notes")
+    c = db.collection("old-lights")
     at = os.path.join(root, "views")
     db.materialize_view("all", c)
-    assert sorted(os.listdir(f"{at}/all")) == ["alpha.md", "beta.md", "deep", "delta.md", "gamma.md"]
-    assert open(f"{at}/all/deep/e.md").read().startswith("---") and open(f"{at}/all/alpha.md").read() == FILES["alpha.md"]
-    db.materialize_view("tags", c, group_by="tags")
-    assert sorted(os.listdir(f"{at}/tags")) == ["_ungrouped", "a%2Fb", "ai", "caf%C3%A9", "db", "python", "rust", "x%20y"]
-    assert sorted(os.listdir(f"{at}/tags/rust")) == ["alpha.md", "deep", "gamma.md"] and os.listdir(f"{at}/tags/_ungrouped") == ["delta.md"]
-    assert os.path.exists(f"{at}/tags/rust/deep/e.md") and os.path.exists(f"{at}/tags/db/beta.md")
-    before = os.readlink(f"{at}/tags")
-    db.materialize_view("tags", c, c.query().filter("rating").ge(4), "tags")
-    assert os.readlink(f"{at}/tags") != before and "python" not in os.listdir(f"{at}/tags")
+    assert sorted(os.listdir(f"{at}/all")) == sorted(["deep", *(f"{n}.md" for n in LIGHTS)])
+    assert open(f"{at}/all/deep/e.md").read().startswith("---") and open(f"{at}/all/arran.md").read() == FILES["arran.md"]
+    db.materialize_view("by", c, group_by="signals")
+    kinds = {s for x in LIGHTS.values() for s in x.get("signals", [])}
+    assert set(os.listdir(f"{at}/by")) == kinds | {"_ungrouped", "a%2Fb", "caf%C3%A9", "x%20y"}
+    assert os.path.exists(f"{at}/by/flash/deep/e.md") and sorted(os.listdir(f"{at}/by/_ungrouped")) == ["dunnet.md", "elie.md"]
+    for kind in kinds:
+        assert {p for p in os.listdir(f"{at}/by/{kind}") if p != "deep"} == {f"{n}.md" for n in having("signals", lambda v: kind in v)}
+    before = os.readlink(f"{at}/by")
+    db.materialize_view("by", c, c.query().filter("metres").ge(30), "signals")
+    assert os.readlink(f"{at}/by") != before and sorted(os.listdir(f"{at}/by")) == ["fixed", "red", "white"]
     assert len(os.listdir(f"{at}/.generations")) == 2
-    db.materialize_view("empty", c, c.query().filter("rating").ge(100))
+    db.materialize_view("empty", c, c.query().filter("metres").ge(100))
     assert os.listdir(f"{at}/empty") == []
     for bad in ("../escape", "sub/dir", ".hidden", ""):
         with pytest.raises(ViewError):
@@ -182,10 +180,10 @@ def test_views(spark, make_db):
 
 @pytest.mark.parametrize("tag", ["_ungrouped", ".", "..", '""', "x" * 241])
 def test_view_errors(spark, make_db, tag):
-    root = make_db({"notes": FILES | {"z.md": f"---\ntags: [{tag}]\n---\n"}})
+    root = make_db({"lights": FILES | {"z.md": f"---\nsignals: [{tag}]\n---\n"}})
     db = Database(spark, root)
     with pytest.raises(Exception, match="group value"):
-        db.materialize_view("v", db.collection("notes"), group_by="tags")
+        db.materialize_view("v", db.collection("lights"), group_by="signals")
     assert os.listdir(os.path.join(root, "views", ".generations")) == [] and not os.path.lexists(os.path.join(root, "views", "v"))
 
 
@@ -200,23 +198,23 @@ def test_view_numbers_share_a_group(spark, make_db):
 def test_cli(spark, make_db, capsys):
     from quirefold.__main__ import main
 
-    root = make_db({"notes": FILES})
+    root = make_db({"lights": FILES})
     run = lambda *a: (main(["--db", root, *a], spark), capsys.readouterr())
-    assert run("collections")[1].out == "notes\n"
-    assert run("query", "notes", "--filter", "rating:ge:4", "--order-by", "rating", "--direction", "desc")[1].out.split() == ["alpha.md", "gamma.md"]
-    assert run("query", "notes", "--filter", "rating:any:4")[0] == 1 and run("records", "nope")[0] == 1
-    assert run("validate")[0] == 0 and "indexed 4" in run("index", "notes")[1].out
-    assert run("materialize", "notes", "v", "--group-by", "tags")[0] == 0
+    assert run("collections")[1].out == "lights\n"
+    assert run("query", "lights", "--filter", "metres:ge:20", "--order-by", "metres", "--direction", "desc")[1].out.split() == ["arran.md", "corsewall.md", "dunnet.md"]
+    assert run("query", "lights", "--filter", "metres:any:4")[0] == 1 and run("records", "nope")[0] == 1
+    assert run("validate")[0] == 0 and f"indexed {len(LIGHTS)}" in run("index", "lights")[1].out
+    assert run("materialize", "lights", "v", "--group-by", "signals")[0] == 0
 
 
-def test_stream_maintenance(spark, notes, tmp_path):
+def test_stream_maintenance(spark, lights, tmp_path):
     from quirefold.streaming.maintenance import maintain
 
     folder = f"file://{tmp_path}/index"
-    PostingIndex.build(notes.records()).save(f"{folder}/base")
-    with open(os.path.join(notes.path, "beta.md"), "w") as f:
-        f.write("---\nrating: 5\n---\n")
-    spark.createDataFrame([("beta.md",)], "path string").write.json(str(tmp_path / "changes"))
-    q = maintain(spark.readStream.schema("path string").json(str(tmp_path / "changes")), folder, notes.records, f"{tmp_path}/cp")
+    PostingIndex.build(lights.records()).save(f"{folder}/base")
+    with open(os.path.join(lights.path, "elie.md"), "w") as f:
+        f.write("---\nmetres: 41\n---\n")
+    spark.createDataFrame([("elie.md",)], "path string").write.json(str(tmp_path / "changes"))
+    q = maintain(spark.readStream.schema("path string").json(str(tmp_path / "changes")), folder, lights.records, f"{tmp_path}/cp")
     q.awaitTermination(60)
-    assert {r.path for r in PostingIndex.load(spark, f"{folder}/0").posting("rating", "eq", 5).collect()} == {"alpha.md", "beta.md"}
+    assert {r.path for r in PostingIndex.load(spark, f"{folder}/0").posting("metres", "eq", 41).collect()} == {"arran.md", "elie.md"}
